@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import held_out
 
 
-def sample_per_class(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", salt: str = "fit") -> list:
+def sample_per_class(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", salt: str = "fit") -> tuple[list, dict]:
     """About ``per_class`` rows (id, text, label) of each class of ``labels(id, label)``.
 
     Ids whose crc32 leaves 2 modulo 4 are never taken, nor are texts over
     ``max_bytes``: those two numbers bound what reaches the driver.  The sample is
-    the rows of least hash, so reruns agree.
+    the rows of least hash, so reruns agree.  Null ids and labels are left out and
+    repeated ids count once.  Also returns the number of rows of each class.
     """
     share = F.xxhash64(F.lit(salt), F.col("id")) / F.lit(2.0**64) + 0.5
     known = labels.select(F.col(id_col).alias("id"), "label").where(F.col("label").isNotNull() & ~held_out(F.col("id")) & F.col("id").isNotNull())
@@ -21,6 +23,39 @@ def sample_per_class(docs: DataFrame, labels: DataFrame, per_class: int, max_byt
     take = F.lit(False)
     for label, n in sorted(sizes.items(), key=str):
         take = take | ((F.col("label") == F.lit(label)) & (share < F.lit(per_class / n)))
-    picked = known.where(take).dropDuplicates(["id"]).select(F.col("id").alias("of"), "label")
+    picked = known.where(take).groupBy("id").agg(F.min("label").alias("label")).select(F.col("id").alias("of"), "label")
     texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return sorted(texts.join(F.broadcast(picked), F.col("id") == F.col("of")).select("id", "text", "label").dropDuplicates(["id"]).collect(), key=lambda r: r["id"])
+    rows = texts.join(F.broadcast(picked), F.col("id") == F.col("of")).select("id", "text", "label").collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["text"])):
+        first.setdefault(r["id"], r)
+    return list(first.values()), sizes
+
+
+class Logistic:
+    """Weighted logistic regression with a small ridge, by Newton's method."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60):
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z, w = self._standard(x), weight / weight.sum()
+        penalty = np.full(z.shape[1], ridge)
+        penalty[0] = 1e-6
+        self.beta = np.zeros(z.shape[1])
+        for _ in range(rounds):
+            p = self._sigmoid(z @ self.beta)
+            slope = z.T @ (w * (p - y)) + penalty * self.beta
+            curve = (z * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + np.diag(penalty)
+            move = np.linalg.solve(curve, slope)
+            self.beta -= move / max(1.0, float(np.abs(move).max()) / 4)
+            if np.abs(move).max() < 1e-9:
+                break
+
+    def _standard(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ones((len(x), 1)), (x - self.mean) / self.scale], axis=1)
+
+    @staticmethod
+    def _sigmoid(t: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(t, -35, 35)))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._sigmoid(self._standard(x) @ self.beta)

@@ -140,7 +140,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Returns id, held_out, lang_pred, score (posterior of that language), bits.
     """
     spark = docs.sparkSession
-    learnt = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language")
+    learnt, _ = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language")
     texts: dict[str, list[bytes]] = {}
     for r in learnt:
         texts.setdefault(r["label"], []).append(r["text"].encode().lower())
