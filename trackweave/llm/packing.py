@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import WORD, scratch
 
 #: Words a bin holds, documents of one source it may hold, and rows packed together.
-CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 2, 20_000
+CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
 
 
 class Bins:

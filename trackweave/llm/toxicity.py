@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,6 +190,12 @@ def fit(rows: list, counts: dict) -> Model:
     return model
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, train_bytes: int) -> Broadcast:
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    rows, counts = sample_per_class(docs, known, per_class, train_bytes, id_col, text_col, "toxicity")
+    return docs.sparkSession.sparkContext.broadcast(fit(rows, counts))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Score of every whole text, 0 to 1, higher where label 1 is likelier.
 
@@ -203,10 +210,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Returns id, held_out, score, predicted (1 from ``TOXIC_FROM`` on), evidence (ids of
     the neighbours, nearest first) and cosines.
     """
-    spark = docs.sparkSession
-    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    rows, counts = sample_per_class(docs, known, per_class, train_bytes, id_col, text_col, "toxicity")
-    shared = spark.sparkContext.broadcast(fit(rows, counts))
+    shared = _fitted(docs, labels, id_col, text_col, label_col, per_class, train_bytes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -225,3 +229,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return texts.mapInArrow(each, "id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """``docs`` without the rows that ``score_toxicity`` predicts toxic, in one pass."""
+    shared = _fitted(docs, labels, id_col, text_col, label_col, per_class, train_bytes)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            clean = [model.score(t.as_py() or "")[0] < TOXIC_FROM for t in batch.column(text_col)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
