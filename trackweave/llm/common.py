@@ -1,69 +1,16 @@
-"""Helpers shared by the operators: scratch tables and connected components."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: dict[str, "Scratch"] = {}
+from trackweave.scratch import scratch
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-class Scratch:
-    """Tables written to the folder that driver and executors share.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests on one machine) a temporary folder stands in.  A written table
-    cuts the lineage and survives the loss of any executor.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="trackweave-")
-        self.root = f"{base.rstrip('/')}/trackweave-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        atexit.register(self._clear)
-
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        for table in tables:
-            if path := getattr(table, "_scratch_path", None):
-                self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _clear(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the session may have ended before the interpreter
-            pass
-
-
-def scratch(spark: SparkSession) -> Scratch:
-    """The scratch folder of this application."""
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = Scratch(spark)
-    return _SCRATCH[app]
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 modulo 4: rows never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
