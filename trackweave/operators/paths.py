@@ -10,8 +10,6 @@ from trackweave.operators import filters
 from trackweave.operators.filters import NoPath
 from trackweave.scratch import scratch
 
-_BEST = F.struct("dist", "hops", "parent", "fresh")
-
 
 def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Least costs from each of ``sources(leg, node)``: (leg, node, dist, hops, parent).
@@ -35,7 +33,7 @@ def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
             "leg", F.col("other").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"), F.lit(1).alias("fresh")
         )
         known = best.withColumn("fresh", F.lit(0))
-        merged = known.unionByName(found).groupBy("leg", "node").agg(F.min(_BEST).alias("best")).select("leg", "node", "best.*")
+        merged = known.unionByName(found).groupBy("leg", "node").agg(F.min(F.struct("dist", "hops", "parent", "fresh")).alias("best")).select("leg", "node", "best.*")
         following = store.write(merged, "best")
         store.drop(best)
         best = following

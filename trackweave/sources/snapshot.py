@@ -53,7 +53,7 @@ def load(spark: SparkSession, root: str, version: str = ORIGINAL) -> dict[str, D
     return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in parts}
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def floats(blob: pd.Series) -> pd.Series:
     """Vectors from bytes of 32-bit floats."""
     import numpy as np
@@ -61,7 +61,7 @@ def floats(blob: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else np.frombuffer(b, "<f4") for b in blob])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blob(vector: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -76,8 +76,8 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
     doc = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
     rows = doc.select(F.posexplode("songs").alias("ord", "s")).select(F.col("ord").cast("long"), "s.*")
-    numbers = F.from_json("embedding", "array<float>")
-    rows = rows.withColumn("embedding", F.when(F.col("embedding").startswith("["), numbers).otherwise(floats(F.unbase64("embedding"))))
+    numbers, listed = F.from_json("embedding", "array<float>"), F.col("embedding").startswith("[")
+    rows = rows.withColumn("embedding", F.coalesce(F.when(listed, numbers), floats(F.when(~listed, F.unbase64("embedding")))))
     songs = schemas.songs(rows.withColumn("fingerprint", F.from_json("fingerprint", "array<int>")))
     ids = songs.select("file_path", "ord")
     raw = doc.select(F.explode("edges").alias("e")).select("e.*")
