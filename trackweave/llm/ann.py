@@ -59,7 +59,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
         squares = np.einsum("ij,ij->i", book, book)
         left = np.einsum("nbd,nbd->nb", residual, residual)
         cost = left[:, :, None] - 2 * (residual @ book.T) + squares
-        flat = cost.reshape(len(x), -1)
+        flat = cost.reshape(len(x), cost.shape[1] * cost.shape[2])
         width = min(beam, flat.shape[1])
         best = np.argpartition(flat, width - 1, axis=1)[:, :width]
         best = np.take_along_axis(best, np.take_along_axis(flat, best, 1).argsort(axis=1, kind="stable"), 1)
