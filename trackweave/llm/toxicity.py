@@ -18,8 +18,11 @@ from trackweave.llm.fitting import Logistic, sample_per_class
 
 #: Labelled texts of a class that are learnt from, and the longest of them in bytes.
 PER_CLASS, TRAIN_BYTES = 4000, 65_536
-#: Terms of the vectors: those that tell most of toxic texts, seen in so many texts.
-TERMS, LEAST_TEXTS = 4096, 3
+#: Terms of the vectors: those that tell most of toxic texts, seen in so many of them,
+#: and so many times as often as in other texts.
+TERMS, LEAST_TEXTS, LEAST_LIFT = 4096, 3, 4.0
+#: Searches that a worker remembers; texts with one or two terms are often alike.
+REMEMBERED = 5_000
 #: Beginnings of words that are terms besides whole words, by their letters.
 STEMS = range(4, 9)
 #: Neighbours that vote, and examples in one block of the index.
@@ -85,7 +88,7 @@ def choose_terms(texts: list[str], label: np.ndarray) -> Vocabulary:
     ranked = []
     for term, toxic in toxic_in.items():
         n = toxic + clean_in[term]
-        if toxic <= base * n or base == 1:
+        if base == 1 or toxic / total[1] < LEAST_LIFT * (n - toxic) / total[0]:
             continue
         ratio = 2 * toxic * math.log(toxic / n / base)
         if n > toxic:
@@ -107,16 +110,21 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.order = sorted(range(len(vectors)), key=lambda i: tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3].tolist()))
         self.n_blocks = -(-len(vectors) // BLOCK)
-        place = np.concatenate([np.full(len(vectors[i][0]), p) for p, i in enumerate(self.order)] or [np.empty(0)]).astype(np.int32)
-        term = np.concatenate([vectors[i][0] for i in self.order] or [np.empty(0)]).astype(np.int64)
-        weight = np.concatenate([vectors[i][1] for i in self.order] or [np.empty(0)]).astype(np.float64)
-        cell = term * self.n_blocks + place // BLOCK
-        by_cell = np.argsort(cell, kind="stable")
-        self.place, self.weight = place[by_cell], weight[by_cell]
-        self.bounds = np.searchsorted(cell[by_cell], np.arange(n_terms * self.n_blocks + 1)).reshape(-1)
-        self.largest = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.largest, cell, weight)
-        self.largest = self.largest.reshape(n_terms, self.n_blocks)
+        self.largest = np.zeros((n_terms, self.n_blocks))
+        #: row of a term in the postings of a block, -1 where no example there has it
+        self.row = np.full((n_terms, self.n_blocks), -1, np.int32)
+        self.postings: list[np.ndarray] = []
+        self.members: list[np.ndarray] = []
+        for block in range(self.n_blocks):
+            here = self.order[block * BLOCK : (block + 1) * BLOCK]
+            terms = np.unique(np.concatenate([vectors[i][0] for i in here]))
+            self.row[terms, block] = np.arange(len(terms))
+            weights = np.zeros((len(terms), len(here)))
+            for at, i in enumerate(here):
+                weights[self.row[vectors[i][0], block], at] = vectors[i][1]
+            self.largest[terms, block] = weights.max(axis=1)
+            self.postings.append(weights)
+            self.members.append(np.array(here, np.int64))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine above zero, ties to the smaller number.
@@ -125,27 +133,31 @@ class BlockMaxIndex:
         is below the k-th cosine found, no block left can hold a nearer example.
         """
         bound = weights @ self.largest[terms]
-        best: list[tuple[float, int]] = []
+        scores, which, least = np.empty(0), np.empty(0, np.int64), 0.0
         for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] * (1 + 1e-9) < -best[-1][0]:
+            if bound[block] <= 0 or bound[block] * (1 + 1e-9) < least:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                cell = t * self.n_blocks + block
-                lo, hi = self.bounds[cell], self.bounds[cell + 1]
-                scores[self.place[lo:hi] - block * BLOCK] += w * self.weight[lo:hi]
-            for at in np.flatnonzero(scores > 0).tolist():
-                which = self.order[block * BLOCK + at]
-                if which != leave_out:
-                    best.append((-float(scores[at]), which))
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
+            rows = self.row[terms, block]
+            some = rows >= 0
+            found = weights[some] @ self.postings[block][rows[some]]
+            good = (found > 0) & (found >= least)
+            good &= self.members[block] != leave_out
+            if not good.any():
+                continue
+            scores, which = np.concatenate([scores, found[good]]), np.concatenate([which, self.members[block][good]])
+            if len(scores) > k:
+                best = np.lexsort((which, -scores))[:k]
+                scores, which = scores[best], which[best]
+            if len(scores) == k:
+                least = float(scores.min())
+        best = np.lexsort((which, -scores))
+        return list(zip(scores[best].tolist(), which[best].tolist()))
 
 
 class Model:
     def __init__(self, vocabulary: Vocabulary, index: BlockMaxIndex, ids: list[int], toxic: np.ndarray, calibrated: Logistic | None, without: float):
         self.vocabulary, self.index, self.ids, self.toxic, self.calibrated, self.without = vocabulary, index, ids, toxic, calibrated, without
+        self.searched: dict = {}
 
     def evidence(self, vector: tuple, leave_out: int = -1) -> tuple[np.ndarray | None, list[tuple[float, int]]]:
         """What the score is calibrated on, and the neighbours found.
@@ -154,13 +166,23 @@ class Model:
         vocabulary the text holds, and its number of words, complete the picture.
         """
         terms, weights, norm, words = vector
-        near = self.index.nearest(terms, weights, NEIGHBOURS, leave_out) if len(terms) else []
+        near = self._search(terms, weights, leave_out) if len(terms) else []
         if not near:
             return None, []
         cosines, votes = np.array([s for s, _ in near]), self.toxic[[i for _, i in near]]
         share = float(cosines**2 @ votes) / (float((cosines**2).sum()) + 0.1)
         return np.array([share, share**2, cosines[0], math.log1p(norm), math.log1p(words), len(terms) ** 0.5]), near
 
+    def _search(self, terms: np.ndarray, weights: np.ndarray, leave_out: int) -> list[tuple[float, int]]:
+        if leave_out >= 0:
+            return self.index.nearest(terms, weights, NEIGHBOURS, leave_out)
+        key = (terms.tobytes(), weights.tobytes())
+        if (near := self.searched.get(key)) is None:
+            if len(self.searched) >= REMEMBERED:
+                self.searched.clear()
+            near = self.searched[key] = self.index.nearest(terms, weights, NEIGHBOURS)
+        return near
+
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         seen, near = self.evidence(self.vocabulary.vector(text))
         if seen is None or self.calibrated is None:
