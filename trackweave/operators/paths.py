@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators import edges as E
@@ -22,8 +22,7 @@ def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
     """
     store = scratch(edges.sparkSession)
     near = store.write(E.adjacency(edges).where(F.col("weight") < float("inf")).select(F.col("node").alias("from"), "other", "weight"), "adjacency")
-    start = sources.select("leg", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("fresh"))
-    best = store.write(start, "best")
+    best = sources.select("leg", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("fresh"))
     while True:
         moving = best.where("fresh = 1")
         if targets is not None:
@@ -33,11 +32,13 @@ def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
             "leg", F.col("other").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"), F.lit(1).alias("fresh")
         )
         known = best.withColumn("fresh", F.lit(0))
-        merged = known.unionByName(found).groupBy("leg", "node").agg(F.min(F.struct("dist", "hops", "parent", "fresh")).alias("best")).select("leg", "node", "best.*")
-        following = store.write(merged, "best")
+        least = F.min(F.struct("dist", "hops", "parent", "fresh")).alias("best")
+        merged = known.unionByName(found).groupBy("leg", "node").agg(least).select("leg", "node", "best.*")
+        seen = Observation()
+        following = store.write(merged.observe(seen, F.sum("fresh").alias("fresh")), "best")
         store.drop(best)
         best = following
-        if best.where("fresh = 1").isEmpty():
+        if not seen.get["fresh"]:
             store.drop(near)
             return best.drop("fresh")
 
@@ -50,7 +51,6 @@ def trace(best: DataFrame, targets: DataFrame, chunk: int = 12) -> DataFrame:
     """
     store = scratch(best.sparkSession)
     ends = best.join(targets, (best["leg"] == targets["leg"]) & (best["node"] == targets["target"])).select(best["leg"], "node", "dist", "hops", "parent")
-    ends = store.write(ends, "trail")
     longest = ends.agg(F.max("hops")).first()[0] or 0
     rows, step = ends, ends
     for n in range(1, longest + 1):
@@ -77,15 +77,16 @@ def path(songs: DataFrame, edges: DataFrame, stops: list[int], allowed_types: li
     sources = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(legs)], "leg int, node long")
     targets = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(legs)], "leg int, target long")
     best = distances(usable, sources, targets)
-    rows = scratch(spark).write(trace(best, targets), "path")
-    ends = {r["leg"]: r for r in rows.groupBy("leg").agg(F.max("hops").alias("hops"), F.max("dist").alias("dist")).collect()}
-    if missing := [f"{a} -> {b}" for i, (a, b) in enumerate(legs) if i not in ends]:
+    rows = sorted((r["leg"], r["hops"], r["node"], r["dist"]) for r in trace(best, targets).collect())  # the answer itself, a row a track
+    reached = {leg for leg, *_ in rows}
+    if missing := [f"{a} -> {b}" for i, (a, b) in enumerate(legs) if i not in reached]:
         raise NoPath("no path for " + ", ".join(missing))
-    shift, at, cost = [], 0, 0.0
-    for i in range(len(legs)):
-        shift.append((i, at, cost))
-        at, cost = at + ends[i]["hops"], cost + ends[i]["dist"]
-    moved = rows.join(F.broadcast(spark.createDataFrame(shift, "leg int, at long, before double")), "leg").where("leg = 0 or hops > 0")
-    moved = moved.select((F.col("at") + F.col("hops")).alias("pos"), F.col("node").alias("ord"), (F.col("before") + F.col("dist")).alias("cum_cost"))
-    last = moved.select((F.col("pos") + 1).alias("pos"), F.col("cum_cost").alias("last_cost"))
-    return moved.join(last, "pos", "left").select("pos", "ord", (F.col("cum_cost") - F.coalesce("last_cost", F.lit(0.0))).alias("hop_cost"), "cum_cost")
+    out, before, at = [], 0.0, 0.0
+    for leg, hops, node, dist in rows:
+        if hops == 0:
+            before = at
+            if leg > 0:
+                continue
+        out.append((len(out), node, before + dist - at, before + dist))
+        at = before + dist
+    return spark.createDataFrame(out, "pos long, ord long, hop_cost double, cum_cost double")
