@@ -6,20 +6,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import scratch
+from trackweave.llm.vectors import small_batches
 
 #: Leading tokens on the path to a leaf, and share of equal tokens that joins a template.
 DEPTH, ALIKE = 4, 0.75
 #: A template recurs from two documents on, if they hold so many of its tokens together.
 TOKENS = 30
-#: Distinct lines that one leaf may generalise over.
-LEAF_LINES = 4096
+#: Distinct lines, and tokens in them, that one leaf may generalise over.
+LEAF_LINES, LEAF_TOKENS = 4096, 1 << 22
 #: A token with any of these is a variable field, written ``<*>``.
 _VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
@@ -44,26 +44,26 @@ def path_of(tokens: list[str]) -> tuple[int, int, int]:
     return _hash(*tokens), _hash(n, *tokens[:DEPTH]), _hash(n, *tokens[: max(DEPTH, len(tokens) // 2)])
 
 
-def templates(lines: list[list[str]]) -> list[int]:
+def templates(lines: np.ndarray) -> list[int]:
     """The template of each line of one leaf, as the number of the line that began it.
 
-    A line joins the template most like it, if ``ALIKE`` of the tokens agree; tokens
-    that do not agree become variable fields.
+    Lines are rows of token hashes.  A line joins the template most like it, if
+    ``ALIKE`` of the tokens agree; tokens that do not agree become variable fields.
     """
-    words: dict[str, int] = {}
-    known = np.empty((0, len(lines[0]) if lines else 0), np.int64)
+    known = lines.copy()
+    fixed = np.ones(lines.shape, bool)
     began: list[int] = []
     out = []
-    for i, line in enumerate(lines):
-        row = np.array([words.setdefault(t, len(words)) for t in line], np.int64)
-        same = (known == row).mean(axis=1) if len(known) else np.empty(0)
-        best = int(same.argmax()) if len(same) else -1
+    for i, row in enumerate(lines):
+        n = len(began)
+        same = ((known[:n] == row) & fixed[:n]).mean(axis=1) if n else np.empty(0)
+        best = int(same.argmax()) if n else -1
         if best >= 0 and same[best] >= ALIKE:
-            known[best][known[best] != row] = -1
+            fixed[best] &= known[best] == row
         else:
-            known = np.concatenate([known, row[None, :]])
+            known[n] = row
             began.append(i)
-            best = len(began) - 1
+            best = n
         out.append(began[best])
     return out
 
@@ -93,9 +93,9 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     """``(key, first, first_doc)`` of every line whose template recurs.
 
     Equal lines are counted before any shuffle.  A leaf with several different lines
-    is parsed in one task, which holds at most about ``LEAF_LINES`` of them: a fuller
-    leaf is split one level deeper, and what is still fuller generalises no further
-    than its variable fields.
+    is parsed as one row of at most ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token
+    hashes: a fuller leaf is split one level deeper, and what is still fuller
+    generalises no further than its variable fields.
     """
     store = scratch(keyed.sparkSession)
     keys = lines.groupBy("key", "leaf", "deep", "tokens").agg(
@@ -104,9 +104,10 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     keys = store.write(keys, "keys")
     leaves = keys.groupBy("leaf").agg(F.count("*").alias("n_leaf")).where("n_leaf > 1")
     deeper = keys.groupBy("leaf", "deep").agg(F.count("*").alias("n_deep"))
+    fits = lambda n: F.col(n) <= F.least(F.lit(LEAF_LINES), F.lit(LEAF_TOKENS) / F.col("tokens"))
     several = (
         keys.join(leaves, "leaf").join(deeper, ["leaf", "deep"])
-        .withColumn("node", F.when(F.col("n_leaf") <= LEAF_LINES, F.col("leaf")).when((F.col("n_deep") > 1) & (F.col("n_deep") <= LEAF_LINES), F.col("deep")))
+        .withColumn("node", F.when(fits("n_leaf"), F.col("leaf")).when((F.col("n_deep") > 1) & fits("n_deep"), F.col("deep")))
         .where("node is not null")
         .select("key", "node", F.col("sample.doc").alias("doc"), F.col("sample.line").alias("line"))
     )
@@ -118,18 +119,26 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
             rows = []
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
                 lines = text.as_py().split("\n")
-                rows += [(w["key"], w["node"], tokens_of(lines[w["line"]])) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))], ["key", "node", "line"])
-
-    def parse(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("key").sort_values("key", ignore_index=True)
-        if len(frame) == 1:
-            return pd.DataFrame({"key": frame["key"], "template": frame["key"]})
-        began = templates([list(t) for t in frame["line"]])
-        return pd.DataFrame({"key": frame["key"], "template": frame["key"].to_numpy()[began]})
-
-    parsed = texts.mapInArrow(pick, "key long, node long, line array<string>").groupBy("node").applyInPandas(parse, "key long, template long")
-    parsed = store.write(parsed, "templates").withColumnRenamed("key", "of")
+                for w in wanted:
+                    tokens = tokens_of(lines[w["line"]])
+                    rows.append((w["key"], w["node"], np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens], np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "node", "line"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+            for leaf in batch.column(0):
+                key, line = leaf.values.flatten()
+                key, order = np.unique(key.to_numpy(), return_index=True)
+                hashes = line.flatten().to_numpy().reshape(len(line), -1)[order]
+                out.append(np.stack([key, key[templates(hashes)]], 1))
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "template"])
+
+    leaf = texts.mapInArrow(pick, "key long, node long, line array<int>").groupBy("node").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
+    with small_batches(keyed.sparkSession, 64):
+        parsed = store.write(leaf.select("lines").mapInArrow(parse, "key long, template long"), "templates")
+    parsed = parsed.withColumnRenamed("key", "of")
     named = keys.join(parsed, F.col("key") == F.col("of"), "left").withColumn("template", F.coalesce("template", "key"))
     named = store.write(named.select("key", "template", "tokens", "docs", "first"), "named")
     often = (
