@@ -215,3 +215,13 @@ def test_search_over_many_blocks(spark, monkeypatch):
         hits += len(set(want) & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hits / 200 >= 0.9
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])] == [50, 51, 52, 53, 54]
+
+
+def test_vector_query_matches_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    want = {tuple(r) for r in con.execute(f"select vec_id, n_links, component_id, kept from ({queries.oracle_sql()['op2_embedding_dedup']})").fetchall()}
+    got = queries.op2_embedding_dedup(spark, "/root/testdata/sf0.01").select("vec_id", "n_links", "component_id", "kept")
+    assert {tuple(r) for r in got.collect()} == want

@@ -60,5 +60,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+#: Links of operator 2 by brute force, groups by following them.
+_LINKS = """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, other) as (select vec_id, vec_id from v union select r.id, l.b from r join l on r.other = l.a)
+select id as vec_id, (select count(*) from l where l.a = id) as n_links, min(other) as component_id, id = min(other) as kept from r group by id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express the others: their hashes, models or greedy choices have no like in it."""
+    return {"op2_embedding_dedup": _LINKS}
