@@ -98,6 +98,7 @@ def test_similar_groups_keep_one_of_each(spark):
 
 def test_line_templates(spark):
     shared = "this passage of many words stands in several documents and ought to stay in one of them alone " * 3
+    own = [" ".join(f"own{c}{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(60)) for c in "xyz"]
     texts = [
         f"own first line of zero here\n{shared}\nshort", f"another line with other words\n{shared}\nshort", f"{shared}\nthird text has lines of its own",
         "Page 1 of 20 printed on 2024-01-01 by user17 at http://x.org/a",
@@ -106,20 +107,30 @@ def test_line_templates(spark):
         "Served by the node omega within the usual limits of our contract\nlast words",
         "Served by the node gamma within the usual limits of our contract\nfarewell then",
     ]
+    texts[:3] = [f"{o}\n{t}" for o, t in zip(own, texts)]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
     assert got[0] == (texts[0], 0) and got[3] == (texts[3], 0)
-    assert got[1] == ("another line with other words\nshort", 1) and got[2] == ("third text has lines of its own", 1)
+    assert got[1] == (f"{own[1]}\nanother line with other words\nshort", 1) and got[2] == (f"{own[2]}\nthird text has lines of its own", 1)
     assert got[4] == ("something else entirely in this one", 1)
     assert got[5] == ("Served by the node alpha within the usual limits of our contract", 1)
     assert got[6] == ("last words", 1) and got[7] == ("farewell then", 1)
 
 
+def test_copies_are_no_templates(spark):
+    rng = np.random.default_rng(6)
+    lines = [" ".join(rng.choice([f"w{i}" for i in range(900)], 40)).replace("w", "v") for _ in range(6)]
+    letters = [" ".join("".join("abcdefghij"[int(c)] for c in t[1:]) for t in line.split()) for line in lines]
+    near = [letters[:k] + [letters[k].replace(letters[k].split()[20], "changed")] + letters[k + 1 :] for k in range(6)]
+    texts = ["\n".join(letters)] * 20 + ["\n".join(n) for n in near]
+    assert {r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()} == {0}
+
+
 def test_full_leaves_still_find_equal_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
     lines = [f"the very same leading tokens {'abcdefgh'[i]} then {'hgfedcba'[i]} some more words that differ {'qrstuvwx'[i]} at the end" for i in range(8)]
-    texts = [lines[i % 8] + "\nown " + "xyz"[i // 8] * (i + 1) for i in range(16)]
+    texts = [lines[i % 8] + "\nown " + " ".join("xyzuvw"[i // 8] * (k + 1) + "abcdefgh"[i % 8] for k in range(30)) for i in range(40)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
-    assert all(got[i] == 0 for i in range(8)) and all(got[i] == 1 for i in range(8, 16))
+    assert all(got[i] == 0 for i in range(8)) and all(got[i] == 1 for i in range(8, 40))
 
 
 def test_lines_odd_rows(spark):

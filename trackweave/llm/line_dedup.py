@@ -16,13 +16,15 @@ from trackweave.llm.vectors import small_batches
 
 #: Leading tokens on the path to a leaf, and share of equal tokens that joins a template.
 DEPTH, ALIKE = 4, 0.75
-#: A template recurs from two documents on, if they hold so many of its tokens together.
-TOKENS = 30
+#: A template recurs if so many unlike documents have it, if those are so large a share
+#: of all that have it, and if they hold so many of its tokens together.
+UNLIKE, SHARE, TOKENS = 3, 0.3, 30
 #: Distinct lines, and tokens in them, that one leaf may generalise over.
 LEAF_LINES, LEAF_TOKENS = 4096, 1 << 22
 #: A token with any of these is a variable field, written ``<*>``.
 _VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
+NO_PAIR = (1 << 64) - 1
 
 
 def tokens_of(line: str) -> list[str]:
@@ -44,6 +46,23 @@ def path_of(tokens: list[str]) -> tuple[int, int, int]:
     return _hash(*tokens), _hash(n, *tokens[:DEPTH]), _hash(n, *tokens[: max(DEPTH, len(tokens) // 2)])
 
 
+def _least_pair(tokens: list[str]) -> int:
+    """The least hash of a line's pairs of neighbouring tokens."""
+    digest = xxhash.xxh64_intdigest
+    return min((digest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(tokens, tokens[1:])), default=NO_PAIR)
+
+
+def signatures(lines: list[list[str]]) -> list[int]:
+    """For each line, what marks the rest of its document: the least pair hash of the
+    other lines.  Copies of a document, near ones too, mostly agree in it; unlike
+    documents that share the line do not."""
+    least = [_least_pair(t) for t in lines]
+    order = sorted(range(len(least)), key=least.__getitem__)[:2]
+    first = least[order[0]] if order else NO_PAIR
+    second = least[order[1]] if len(order) > 1 else NO_PAIR
+    return [(second if i == order[0] else first) - (1 << 63) for i in range(len(least))]
+
+
 def templates(lines: np.ndarray) -> list[int]:
     """The template of each line of one leaf, as the number of the line that began it.
 
@@ -69,24 +88,25 @@ def templates(lines: np.ndarray) -> list[int]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, id, line, tokens, key, leaf, deep, fresh) of every line that has tokens;
-    ``fresh`` is 1 for the document's first line of that key, else 0."""
+    """(doc, id, line, tokens, key, leaf, deep, fresh, sig) of every line that has tokens;
+    ``fresh`` is 1 for the document's first line of that key, else 0; ``sig`` marks the
+    rest of the document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for doc, id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seen = set()
-                for number, line in enumerate((text.as_py() or "").split("\n")):
-                    if tokens := tokens_of(line):
-                        path = path_of(tokens)
-                        for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen)):
-                            column.append(value)
-                        seen.add(path[0])
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "deep", "fresh"])
+                lines = [(n, t) for n, line in enumerate((text.as_py() or "").split("\n")) if (t := tokens_of(line))]
+                for (number, tokens), sig in zip(lines, signatures([t for _, t in lines])):
+                    path = path_of(tokens)
+                    for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen, sig)):
+                        column.append(value)
+                    seen.add(path[0])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "deep", "fresh", "sig"])
 
-    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, deep long, fresh int")
+    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, deep long, fresh int, sig long")
 
 
 def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -141,11 +161,12 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     parsed = parsed.withColumnRenamed("key", "of")
     named = keys.join(parsed, F.col("key") == F.col("of"), "left").withColumn("template", F.coalesce("template", "key"))
     named = store.write(named.select("key", "template", "tokens", "docs", "first"), "named")
-    often = (
-        named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("tokens").alias("tokens"))
-        .where((F.col("docs") >= 2) & (F.col("docs") * F.col("tokens") >= TOKENS))
-    )
-    return named.select("key", "template").join(often, "template").select("key", F.col("first.doc").alias("first_doc"))
+    held = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("tokens").alias("tokens")).where(F.col("docs") >= UNLIKE)
+    candidates = store.write(named.select("key", "template").join(held, "template"), "candidates")
+    # which unlike documents have a template: pairs of template and signature are made distinct before they are counted
+    unlike = lines.select("key", "sig").join(candidates.select("key", "template"), "key").select("template", "sig").distinct().groupBy("template").agg(F.count("*").alias("unlike"))
+    enough = (F.col("unlike") >= UNLIKE) & (F.col("unlike") >= SHARE * F.col("docs")) & (F.col("unlike") * F.col("tokens") >= TOKENS)
+    return candidates.join(unlike, "template").where(enough).select("key", F.col("first.doc").alias("first_doc"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,9 +175,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines are parsed by a tree of fixed depth: token count, then leading tokens, then
     the template in the leaf that agrees in ``ALIKE`` of the tokens.  Tokens with a
     digit, an ``@`` or ``://`` and tokens that vary within a template are variable
-    fields.  A template recurs if two or more documents have it and hold ``TOKENS`` of
-    its tokens or more; all its lines are dropped but those of the document with the
-    smallest id, so nothing is lost from the corpus.
+    fields.  A template recurs if ``UNLIKE`` or more documents have it that are no copies
+    of each other, by their ``signatures``, and these make up ``SHARE`` of all that have it
+    and hold ``TOKENS`` of its tokens or more.  All its lines are dropped but those of the
+    document with the smallest id, so nothing is lost from the corpus.  What only copies of
+    one document share is not a template; whole copies are left to near-duplicate stages.
 
     Null and empty texts stay as they are, lines without tokens are never dropped.
     Repeated rows (same id and text) count as several documents but are treated
