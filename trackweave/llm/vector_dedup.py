@@ -51,6 +51,8 @@ class Subspaces:
         return out
 
 
+#: What a squared distance of unit vectors in single precision may be off by, and more.
+SINGLE = 1e-5
 #: Steps on one axis of the grid, more than any unit vector can need.
 CELL = 1 << 20
 
@@ -147,8 +149,10 @@ def _link_tiles(block: int, one: pa.StructArray, other: pa.StructArray, same: bo
     (ra, wa, xa, la), (rb, wb, xb, lb) = sides
     ua, ub = xa / la[:, None], xb / lb[:, None]
     va, vb = spaces.coordinates(ua, block), spaces.coordinates(ub, block)
-    apart = np.einsum("ij,ij->i", va, va)[:, None] + np.einsum("ij,ij->i", vb, vb) - 2 * (va @ vb.T)
-    near = apart <= spaces.budget[block] * (1 + 1e-9) + 1e-12
+    # one product of single precision gives all squared distances; those near the budget are judged again in double
+    left = np.concatenate([va, (va**2).sum(axis=1, keepdims=True), np.ones((len(va), 1))], axis=1).astype(np.float32)
+    right = np.concatenate([-2 * vb, np.ones((len(vb), 1)), (vb**2).sum(axis=1, keepdims=True)], axis=1).astype(np.float32)
+    near = left @ right.T <= np.float32(spaces.budget[block] + SINGLE)
     if same:
         near &= np.arange(len(ra))[:, None] < np.arange(len(rb))
     i, j = np.nonzero(near)
