@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import held_out
 
 
-def sample_per_class(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", salt: str = "fit") -> tuple[list, dict]:
+def sample_per_class(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", salt: str = "fit", most_classes: int = 64) -> tuple[list, dict]:
     """About ``per_class`` rows (id, text, label) of each class of ``labels(id, label)``.
 
     Ids whose crc32 leaves 2 modulo 4 are never taken, nor are texts over
-    ``max_bytes``: those two numbers bound what reaches the driver.  The sample is
+    ``max_bytes``, nor classes beyond the ``most_classes`` largest: those three numbers
+    bound what reaches the driver.  The sample is
     the rows of least hash, so reruns agree.  Null ids and labels are left out and
     repeated ids count once.  Also returns the number of rows of each class.
     """
     share = F.xxhash64(F.lit(salt), F.col("id")) / F.lit(2.0**64) + 0.5
     known = labels.select(F.col(id_col).alias("id"), "label").where(F.col("label").isNotNull() & ~held_out(F.col("id")) & F.col("id").isNotNull())
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_classes).collect()}
     take = F.lit(False)
     for label, n in sorted(sizes.items(), key=str):
         take = take | ((F.col("label") == F.lit(label)) & (share < F.lit(per_class / n)))

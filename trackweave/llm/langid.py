@@ -16,8 +16,11 @@ from trackweave.llm.fitting import sample_per_class
 ORDER = 3
 #: Training texts of a language, and the longest of them in bytes.
 PER_LANGUAGE, TRAIN_BYTES = 400, 65_536
-#: Contexts of full length that a model keeps, those seen most often.
-CONTEXTS = 20_000
+#: Languages learnt, those with most documents.
+LANGUAGES = 64
+#: Contexts of two and of three bytes that a model keeps, those seen most often, and
+#: code lengths in its table: the fewer languages, the more contexts fit.
+CONTEXTS, TABLE = 20_000, 40_000_000
 #: Bytes that are scored at a time.
 BLOCK = 1 << 20
 #: Bits that count as one in the posterior, since neighbouring bytes are no independent evidence.
@@ -90,14 +93,22 @@ def fit(texts: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model:
     coded = {name: table[np.frombuffer(s, np.uint8)].astype(np.int64) for name, s in streams.items()}
     counts = {name: [_tree(s, width, k) for k in range(ORDER + 1)] for name, s in coded.items()}
 
-    every: dict[int, int] = {}
-    full = np.concatenate([np.repeat(c // width, n) for c, n in (counts[name][ORDER] for name in languages)]) if languages else np.empty(0, np.int64)
-    codes, often = np.unique(full, return_counts=True)
-    kept = np.sort(codes[np.argsort(-often, kind="stable")[:contexts]])
-    n2, n3 = width * width, len(kept)
-    rows = np.tile(np.arange(n2, dtype=np.int32), width)  # by the last two symbols
-    rows[kept] = n2 + np.arange(n3)
-    bits = np.empty((n2 + n3, width, len(languages)), np.float32)
+    def most(order: int, limit: int) -> np.ndarray:
+        """Codes of the contexts of that order seen most often in all languages together."""
+        every = np.concatenate([np.repeat(c // width, n) for c, n in (counts[name][order] for name in languages)])
+        codes, often = np.unique(every, return_counts=True)
+        return np.sort(codes[np.argsort(-often, kind="stable")[:limit]])
+
+    room = max(0, TABLE // (width * len(languages)) - width)
+    pairs = most(2, min(contexts, room))
+    kept = most(ORDER, min(contexts, room - len(pairs)))
+    kept = kept[np.isin(kept % width**2, pairs)]
+    n1, n2, n3 = width, len(pairs), len(kept)
+    by_pair = np.tile(np.arange(width, dtype=np.int32), width)  # by the last symbol
+    by_pair[pairs] = n1 + np.arange(n2)
+    rows = np.tile(by_pair, width)
+    rows[kept] = n1 + n2 + np.arange(n3)
+    bits = np.empty((n1 + n2 + n3, width, len(languages)), np.float32)
 
     def refine(shorter: np.ndarray, contexts: np.ndarray, tree: tuple) -> np.ndarray:
         """Probabilities in ``contexts`` (sorted codes), from those one symbol shorter."""
@@ -119,10 +130,9 @@ def fit(texts: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model:
         p = np.full((1, width), 1.0 / width)
         p = refine(p, np.zeros(1, np.int64), trees[0])
         one = refine(np.repeat(p, width, 0), np.arange(width), trees[1])
-        two = refine(np.tile(one, (width, 1)), np.arange(n2), trees[2])
-        three = refine(two[kept % n2], kept, trees[3]) if n3 else np.empty((0, width))
-        bits[:n2, :, which] = -np.log2(two)
-        bits[n2:, :, which] = -np.log2(three)
+        two = refine(one[pairs % width], pairs, trees[2])
+        three = refine(two[np.searchsorted(pairs, kept % width**2)], kept, trees[3])
+        bits[:, :, which] = -np.log2(np.concatenate([one, two, three]))
     return Model(languages, table, width, rows, bits.reshape(-1, len(languages)))
 
 
@@ -134,13 +144,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     letter, or nothing could be learnt.  Repeated rows are each returned; an empty
     table gives an empty result; columns beyond the three named are ignored.
 
-    Learning takes at most about ``per_language`` texts of each language, none over
-    ``train_bytes``; the model's size is bounded by ``CONTEXTS`` and 256 symbols, so
-    it can be sent to every executor.
+    Learning takes at most about ``per_language`` texts of each of the ``LANGUAGES`` with
+    most documents, none over ``train_bytes``; ``TABLE`` bounds the model, so it can be
+    sent to every executor.
     Returns id, held_out, lang_pred, score (posterior of that language), bits.
     """
     spark = docs.sparkSession
-    learnt, _ = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language")
+    learnt, _ = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language", LANGUAGES)
     texts: dict[str, list[bytes]] = {}
     for r in learnt:
         texts.setdefault(r["label"], []).append(r["text"].encode().lower())
