@@ -125,6 +125,21 @@ def test_copies_are_no_templates(spark):
     assert {r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()} == {0}
 
 
+def letters(rng, n):
+    """``n`` words that no other call is likely to give."""
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n))
+
+
+def test_templates_recur_whatever_the_copies_of_a_holder(spark):
+    rng = np.random.default_rng(11)
+    passage, pair = letters(rng, 60), letters(rng, 40)
+    texts = [f"{letters(rng, 50)}\n{passage}" for _ in range(12)]
+    texts += [texts[5]] * 100 + [texts[0]] * 3 + [f"{letters(rng, 50)}\n{pair}", f"{letters(rng, 50)}\n{pair}"]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
+    assert got[0] == 0 and all(got[i] == 1 for i in range(1, 112))
+    assert all(got[i] == 0 for i in (112, 113, 114)) and (got[115], got[116]) == (0, 1)
+
+
 def test_full_leaves_still_find_equal_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
     lines = [f"the very same leading tokens {'abcdefgh'[i]} then {'hgfedcba'[i]} some more words that differ {'qrstuvwx'[i]} at the end" for i in range(8)]

@@ -16,15 +16,19 @@ from trackweave.llm.vectors import small_batches
 
 #: Leading tokens on the path to a leaf, and share of equal tokens that joins a template.
 DEPTH, ALIKE = 4, 0.75
-#: A template recurs if so many unlike documents have it, if those are so large a share
-#: of all that have it, and if they hold so many of its tokens together.
-UNLIKE, SHARE, TOKENS = 3, 0.3, 30
+#: A template recurs if so many unlike documents have it, and if they hold so many of
+#: its tokens together.
+UNLIKE, TOKENS = 2, 30
+#: A document is a copy of another if this share of up to so many of its own token pairs
+#: stands there, and if neither is over so many times as long.
+COPY, PAIRS, LONGER = 0.5, 16, 2
+#: Other documents that are compared with one in a row.
+HOLDERS = 4096
 #: Distinct lines, and tokens in them, that one leaf may generalise over.
 LEAF_LINES, LEAF_TOKENS = 4096, 1 << 22
 #: A token with any of these is a variable field, written ``<*>``.
 _VARIABLE = re.compile(r"[0-9@]|://")
 FIELD = "<*>"
-NO_PAIR = (1 << 64) - 1
 
 
 def tokens_of(line: str) -> list[str]:
@@ -46,22 +50,10 @@ def path_of(tokens: list[str]) -> tuple[int, int, int]:
     return _hash(*tokens), _hash(n, *tokens[:DEPTH]), _hash(n, *tokens[: max(DEPTH, len(tokens) // 2)])
 
 
-def _least_pair(tokens: list[str]) -> int:
-    """The least hash of a line's pairs of neighbouring tokens; of those whose lengths
-    sum to a multiple of three, which are as good a sample in any copy."""
-    digest = xxhash.xxh64_intdigest
-    return min((digest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(tokens, tokens[1:]) if not (len(a) + len(b)) % 3), default=NO_PAIR)
-
-
-def signatures(lines: list[list[str]]) -> list[int]:
-    """For each line, what marks the rest of its document: the least pair hash of the
-    other lines.  Copies of a document, near ones too, mostly agree in it; unlike
-    documents that share the line do not."""
-    least = [_least_pair(t) for t in lines]
-    order = sorted(range(len(least)), key=least.__getitem__)[:2]
-    first = least[order[0]] if order else NO_PAIR
-    second = least[order[1]] if len(order) > 1 else NO_PAIR
-    return [(second if i == order[0] else first) - (1 << 63) for i in range(len(least))]
+def pairs_of(tokens: list[str]) -> set[int]:
+    """Hashes of a line's pairs of neighbouring tokens; of the token, where it is the only one."""
+    follow = tokens[1:] or [""]
+    return {_hash(a, b) for a, b in zip(tokens, follow)}
 
 
 def templates(lines: np.ndarray) -> list[int]:
@@ -89,29 +81,30 @@ def templates(lines: np.ndarray) -> list[int]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, id, line, tokens, key, leaf, deep, fresh, sig) of every line that has tokens;
-    ``fresh`` is 1 for the document's first line of that key, else 0; ``sig`` marks the
-    rest of the document."""
+    """(doc, id, line, tokens, key, leaf, deep, fresh) of every line that has tokens;
+    ``fresh`` is 1 for the document's first line of that key, else 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seen = set()
-                lines = [(n, t) for n, line in enumerate((text.as_py() or "").split("\n")) if (t := tokens_of(line))]
-                for (number, tokens), sig in zip(lines, signatures([t for _, t in lines])):
+                for number, line in enumerate((text.as_py() or "").split("\n")):
+                    if not (tokens := tokens_of(line)):
+                        continue
                     path = path_of(tokens)
-                    for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen, sig)):
+                    for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen)):
                         column.append(value)
                     seen.add(path[0])
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "deep", "fresh", "sig"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "deep", "fresh"])
 
-    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, deep long, fresh int, sig long")
+    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, deep long, fresh int")
 
 
-def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(key, first, first_doc)`` of every line whose template recurs.
+def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(key, template, docs, keeper)`` of every line whose template several documents
+    hold; ``keeper`` is the one with the smallest id.
 
     Equal lines are counted before any shuffle.  A leaf with several different lines
     is parsed as one row of at most ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token
@@ -162,12 +155,87 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     parsed = parsed.withColumnRenamed("key", "of")
     named = keys.join(parsed, F.col("key") == F.col("of"), "left").withColumn("template", F.coalesce("template", "key"))
     named = store.write(named.select("key", "template", "tokens", "docs", "first"), "named")
-    held = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("tokens").alias("tokens")).where(F.col("docs") >= UNLIKE)
-    candidates = store.write(named.select("key", "template").join(held, "template"), "candidates")
-    # which unlike documents have a template: pairs of template and signature are made distinct before they are counted
-    unlike = lines.select("key", "sig").join(candidates.select("key", "template"), "key").select("template", "sig").distinct().groupBy("template").agg(F.count("*").alias("unlike"))
-    enough = (F.col("unlike") >= UNLIKE) & (F.col("unlike") >= SHARE * F.col("docs")) & (F.col("unlike") * F.col("tokens") >= TOKENS)
-    return candidates.join(unlike, "template").where(enough).select("key", F.col("first.doc").alias("first_doc"))
+    held = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= UNLIKE)
+    return store.write(named.select("key", "template").join(held, "template").select("key", "template", "docs", F.col("first.doc").alias("keeper")), "shared")
+
+
+def _own_text(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, keeper, own, size) of every document and each keeper of some of its lines.
+
+    ``own`` are the least hashes of the token pairs in the document's own text: of the
+    lines that have another keeper or none, the rarest, held by at most twice as many
+    documents as the least held of them.  So neither what the two share nor what many
+    others hold tells them alike.  ``size`` counts the document's tokens.
+    """
+    lines = marked.groupBy("doc").agg(
+        F.collect_set(F.struct("line", "docs", "keeper")).alias("lines"), F.max((F.col("keeper") != F.col("doc")).cast("int")).alias("other"),
+    ).where("other = 1").select("doc", "lines")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, marks in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("lines").to_pylist()):
+                tokens = {n: tokens_of(line) for n, line in enumerate(text.as_py().split("\n"))}
+                size = sum(map(len, tokens.values()))
+                known: dict[tuple, list[int]] = {}
+                for keeper in {m["keeper"] for m in marks} - {None, doc}:
+                    rest = [m for m in marks if m["keeper"] != keeper]
+                    least = min((m["docs"] for m in rest), default=0)
+                    own = tuple(sorted(m["line"] for m in rest if m["docs"] <= 2 * least))
+                    if own not in known:
+                        known[own] = sorted(set().union(*(pairs_of(tokens[n]) for n in own)))[:PAIRS]
+                    rows.append((doc, keeper, known[own], size))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()))], ["doc", "keeper", "own", "size"])
+
+    rows = texts.join(lines, "doc").select("doc", "text", "lines")
+    return rows.mapInArrow(each, "doc long, keeper long, own array<long>, size long").dropDuplicates(["doc", "keeper"])
+
+
+def _copies(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, keeper) of documents that are copies of the keeper: their own text stands there."""
+    many = own.groupBy("keeper").agg(F.ceil(F.count("*") / HOLDERS).alias("parts"))
+    groups = own.join(many, "keeper").groupBy("keeper", F.pmod("doc", "parts").alias("part")).agg(F.collect_list(F.struct("doc", "own", "size")).alias("holders"))
+    rows = groups.join(texts.withColumnRenamed("doc", "of"), F.col("keeper") == F.col("of")).select("keeper", "text", "holders")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs: list[int] = []
+            keepers: list[int] = []
+            for keeper, text, holders in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                lines = [tokens_of(line) for line in text.as_py().split("\n")]
+                size, pairs = sum(map(len, lines)), set().union(*map(pairs_of, filter(None, lines)))
+                for h in holders.as_py():
+                    like = sum(p in pairs for p in h["own"]) >= COPY * len(h["own"])
+                    if like and max(size, h["size"]) <= LONGER * min(size, h["size"]):
+                        docs.append(h["doc"])
+                        keepers.append(keeper)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keepers, pa.int64())], ["doc", "keeper"])
+
+    with small_batches(texts.sparkSession, 64):
+        return scratch(texts.sparkSession).write(rows.mapInArrow(each, "doc long, keeper long").distinct(), "copies")
+
+
+def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(doc, line)`` of every line to drop: its template recurs, and its document is no
+    copy of the keeper.
+
+    Every holder is compared with the keeper alone, so work grows with the lines.
+    """
+    store = scratch(keyed.sparkSession)
+    several = shared(keyed, lines)
+    texts = keyed.where("_text is not null").select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
+    marked = lines.join(several.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+    marked = store.write(marked.select("doc", "line", "tokens", "template", "keeper", F.coalesce("docs", F.lit(1)).alias("docs")), "marked")
+    own = store.write(_own_text(marked, texts), "own")
+    unlike = own.select("doc", "keeper", F.element_at("own", 1).alias("sig")).join(_copies(own.select("doc", "keeper", "own", "size"), texts), ["doc", "keeper"], "left_anti")
+    apart = store.write(marked.where("keeper <> doc").join(unlike, ["doc", "keeper"]).select("doc", "line", "tokens", "template", "sig"), "apart")
+    # the keeper is one, and copies of one document agree in the least pair of their own text
+    often = (
+        apart.select("template", "tokens", F.coalesce("sig", "doc").alias("sig")).distinct().groupBy("template")
+        .agg((F.count_distinct("sig") + 1).alias("unlike"), F.max("tokens").alias("tokens"))
+        .where((F.col("unlike") >= UNLIKE) & (F.col("unlike") * F.col("tokens") >= TOKENS)).select("template")
+    )
+    return apart.join(often, "template").select("doc", "line")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,10 +245,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the template in the leaf that agrees in ``ALIKE`` of the tokens.  Tokens with a
     digit, an ``@`` or ``://`` and tokens that vary within a template are variable
     fields.  A template recurs if ``UNLIKE`` or more documents have it that are no copies
-    of each other, by their ``signatures``, and these make up ``SHARE`` of all that have it
-    and hold ``TOKENS`` of its tokens or more.  All its lines are dropped but those of the
-    document with the smallest id, so nothing is lost from the corpus.  What only copies of
-    one document share is not a template; whole copies are left to near-duplicate stages.
+    of each other and hold ``TOKENS`` of its tokens or more together.  The document with
+    the smallest id keeps its lines, and so do copies of that document; all others lose
+    theirs, so nothing is lost from the corpus.  A copy is told by its own text, the rarest
+    of its lines that have another keeper: most of its token pairs stand in the keeper's
+    text too.  A document whose own text is new is no copy, be it one word.  What only
+    copies of one document share is not a template; those are left to near-duplicate stages.
 
     Null and empty texts stay as they are, lines without tokens are never dropped.
     Repeated rows (same id and text) count as several documents but are treated
@@ -192,11 +262,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns = docs.columns
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_doc": F.xxhash64(id_col, text_col), "_text": F.col(text_col)})
     lines = store.write(_lines(keyed), "lines")
-    often = recurring(keyed, lines)
-    drops = (
-        lines.join(often, "key").where("doc <> first_doc")
-        .groupBy("doc").agg(F.collect_set("line").alias("_drop"))
-    )
+    drops = recurring(keyed, lines).groupBy("doc").agg(F.collect_set("line").alias("_drop"))
     count = lines.groupBy("doc").agg(F.count_distinct("line").cast("int").alias("n_lines"))
     drops = store.write(count.join(drops, "doc", "left").withColumnRenamed("doc", "_of"), "drops")
     joined = keyed.join(drops, F.col("_doc") == F.col("_of"), "left")
