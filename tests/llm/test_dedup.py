@@ -140,6 +140,21 @@ def test_templates_recur_whatever_the_copies_of_a_holder(spark):
     assert all(got[i] == 0 for i in (112, 113, 114)) and (got[115], got[116]) == (0, 1)
 
 
+def test_own_text_tells_copies_apart(spark):
+    rng = np.random.default_rng(12)
+    passage, four, five = letters(rng, 60), [letters(rng, 60) for _ in range(4)], [letters(rng, 30) for _ in range(5)]
+    texts = [f"{letters(rng, 1)}\n{passage}" for _ in range(30)]
+    texts += ["\n".join([letters(rng, 40), *four]) for _ in range(30)]
+    texts += ["\n".join([letters(rng, 60), *five]) for _ in range(30)]
+    copied = "\n".join([letters(rng, 40), *four, letters(rng, 25)])
+    texts += [copied] * 4 + [copied.replace(copied.split()[20], "changed")]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(30)] == [0] + [1] * 29
+    assert [got[i] for i in range(30, 60)] == [0] + [4] * 29
+    assert [got[i] for i in range(60, 90)] == [0] + [5] * 29
+    assert [got[i] for i in range(90, 95)] == [4] * 5
+
+
 def test_full_leaves_still_find_equal_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
     lines = [f"the very same leading tokens {'abcdefgh'[i]} then {'hgfedcba'[i]} some more words that differ {'qrstuvwx'[i]} at the end" for i in range(8)]
