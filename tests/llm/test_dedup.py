@@ -163,6 +163,36 @@ def test_full_leaves_still_find_equal_lines(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(8)) and all(got[i] == 1 for i in range(8, 40))
 
 
+def test_crowded_leaves_generalise_like_others(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = [f"{letters(rng, 30)}\nthis page was last edited by {letters(rng, 1)} who is one of the many people that keep it up" for _ in range(60)]
+    texts += [f"{letters(rng, 30)}\nthis page was last {letters(rng, 16)}" for _ in range(20)]
+    for limit in (4096, 8):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", limit)
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(80)] == [0] + [1] * 59 + [0] * 20
+
+
+def test_templates_equal_brute_force():
+    rng = np.random.default_rng(14)
+    for n in (5, 6, 9, 16, 31):
+        base = rng.integers(1, 1000, (6, n))
+        rows = base[rng.integers(0, 6, 300)]
+        rows = np.where(rng.random(rows.shape) < rng.choice([0.02, 0.1, 0.3], (300, 1)), rng.integers(1, 1000, rows.shape), rows).astype(np.int32)
+        rows[:, :4] = base[0, :4]
+        found, known = line_dedup.Templates(n), []
+        for i, row in enumerate(rows):
+            agree = [int((k == row).sum()) for k in known]
+            best = int(np.argmax(agree)) if agree else -1
+            if agree and agree[best] >= 0.75 * n:
+                known[best] = np.where(known[best] == row, row, 0)
+            else:
+                best = len(known)
+                known.append(row.copy())
+            assert found.add(row, i) == best
+        assert (found.known[: len(known)] == np.array(known)).all()
+
+
 def test_lines_odd_rows(spark):
     got = line_dedup.drop_lines(odd(spark))
     assert got.count() == 11 and set(odd(spark).columns) < set(got.columns)

@@ -24,7 +24,8 @@ UNLIKE, TOKENS = 2, 30
 COPY, PAIRS, LONGER = 0.5, 16, 2
 #: Other documents that are compared with one in a row.
 HOLDERS = 4096
-#: Distinct lines, and tokens in them, that one leaf may generalise over.
+#: Distinct lines, and tokens in them, that are parsed at once; a fuller leaf is parsed in
+#: blocks whose templates are then merged.
 LEAF_LINES, LEAF_TOKENS = 4096, 1 << 22
 #: A token with any of these is a variable field, written ``<*>``.
 _VARIABLE = re.compile(r"[0-9@]|://")
@@ -43,11 +44,9 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def path_of(tokens: list[str]) -> tuple[int, int, int]:
-    """Hashes of the line itself, of its leaf (token count and leading tokens) and of
-    the leaf one level deeper (half of the tokens)."""
-    n = str(len(tokens))
-    return _hash(*tokens), _hash(n, *tokens[:DEPTH]), _hash(n, *tokens[: max(DEPTH, len(tokens) // 2)])
+def path_of(tokens: list[str]) -> tuple[int, int]:
+    """Hashes of the line itself and of its leaf (token count and leading tokens)."""
+    return _hash(*tokens), _hash(str(len(tokens)), *tokens[:DEPTH])
 
 
 def pairs_of(tokens: list[str]) -> set[int]:
@@ -56,37 +55,51 @@ def pairs_of(tokens: list[str]) -> set[int]:
     return {_hash(a, b) for a, b in zip(tokens, follow)}
 
 
-def templates(lines: np.ndarray) -> list[int]:
-    """The template of each line of one leaf, as the number of the line that began it.
+class Templates:
+    """Templates of one leaf, in the order they began.
 
-    Lines are rows of token hashes.  A line joins the template most like it, if
-    ``ALIKE`` of the tokens agree; tokens that do not agree become variable fields.
+    Lines are rows of token hashes, 0 where a token varies.  A line joins the template
+    most like it, if ``ALIKE`` of the tokens agree; tokens that do not agree become
+    variable fields.  Of two rows that agree so far, ``allowed`` tokens differ at most
+    and none of the leading ones, so that one of ``allowed + 1`` runs of the others is
+    equal in both: only templates that share a run are compared, and none is missed.
     """
-    known = lines.copy()
-    fixed = np.ones(lines.shape, bool)
-    began: list[int] = []
-    out = []
-    for i, row in enumerate(lines):
-        n = len(began)
-        same = ((known[:n] == row) & fixed[:n]).mean(axis=1) if n else np.empty(0)
-        best = int(same.argmax()) if n else -1
-        if best >= 0 and same[best] >= ALIKE:
-            fixed[best] &= known[best] == row
-        else:
-            known[n] = row
-            began.append(i)
-            best = n
-        out.append(began[best])
-    return out
+
+    def __init__(self, tokens: int):
+        self.known = np.empty((16, tokens), np.int32)
+        self.began: list[int] = []
+        self.allowed = tokens - int(np.ceil(ALIKE * tokens))
+        self.ends = np.linspace(min(DEPTH, tokens), tokens, self.allowed + 2).astype(int)
+        self.runs: dict[tuple[int, bytes], list[int]] = {}
+
+    def add(self, row: np.ndarray, key: int) -> int:
+        """The number of the template that ``row`` joins or, as ``key``, begins."""
+        runs = [(b, row[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(self.ends, self.ends[1:])) if (row[lo:hi] != 0).all()]
+        near = np.array(sorted(set().union(*(self.runs.get(r, ()) for r in runs))), np.int64)
+        if len(near):
+            agree = ((self.known[near] == row) & (row != 0)).sum(axis=1)
+            best = int(agree.argmax())
+            if len(row) - agree[best] <= self.allowed:
+                at = int(near[best])
+                self.known[at][self.known[at] != row] = 0
+                return at
+        at = len(self.began)
+        if at == len(self.known):
+            self.known = np.concatenate([self.known, np.empty_like(self.known)])
+        self.known[at] = row
+        self.began.append(key)
+        for r in runs:
+            self.runs.setdefault(r, []).append(at)
+        return at
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, id, line, tokens, key, leaf, deep, fresh) of every line that has tokens;
+    """(doc, id, line, tokens, key, leaf, fresh) of every line that has tokens;
     ``fresh`` is 1 for the document's first line of that key, else 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seen = set()
                 for number, line in enumerate((text.as_py() or "").split("\n")):
@@ -96,10 +109,10 @@ def _lines(docs: DataFrame) -> DataFrame:
                     for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen)):
                         column.append(value)
                     seen.add(path[0])
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "deep", "fresh"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "fresh"])
 
-    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, deep long, fresh int")
+    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, fresh int")
 
 
 def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -107,25 +120,22 @@ def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     hold; ``keeper`` is the one with the smallest id.
 
     Equal lines are counted before any shuffle.  A leaf with several different lines
-    is parsed as one row of at most ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token
-    hashes: a fuller leaf is split one level deeper, and what is still fuller
-    generalises no further than its variable fields.
+    is parsed as one row of about ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token hashes;
+    a fuller leaf as several, dealt by hash, whose templates are merged by the same rule.
     """
     store = scratch(keyed.sparkSession)
-    keys = lines.groupBy("key", "leaf", "deep", "tokens").agg(
+    keys = lines.groupBy("key", "leaf", "tokens").agg(
         F.sum("fresh").alias("docs"), F.min(F.struct("id", "doc")).alias("first"), F.min(F.struct("doc", "line")).alias("sample")
     )
     keys = store.write(keys, "keys")
     leaves = keys.groupBy("leaf").agg(F.count("*").alias("n_leaf")).where("n_leaf > 1")
-    deeper = keys.groupBy("leaf", "deep").agg(F.count("*").alias("n_deep"))
-    fits = lambda n: F.col(n) <= F.least(F.lit(LEAF_LINES), F.lit(LEAF_TOKENS) / F.col("tokens"))
+    blocks = F.ceil(F.col("n_leaf") / F.least(F.lit(LEAF_LINES), F.greatest(F.lit(1), F.floor(F.lit(LEAF_TOKENS) / F.col("tokens")))))
     several = (
-        keys.join(leaves, "leaf").join(deeper, ["leaf", "deep"])
-        .withColumn("node", F.when(fits("n_leaf"), F.col("leaf")).when((F.col("n_deep") > 1) & fits("n_deep"), F.col("deep")))
-        .where("node is not null")
-        .select("key", "node", F.col("sample.doc").alias("doc"), F.col("sample.line").alias("line"))
+        keys.join(leaves, "leaf").withColumn("blocks", blocks)
+        .withColumn("node", F.when(F.col("blocks") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", F.pmod(F.xxhash64("key"), "blocks"))))
+        .select("key", "node", F.when(F.col("blocks") > 1, F.col("leaf")).alias("merge"), F.col("sample.doc").alias("doc"), F.col("sample.line").alias("line"))
     )
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("line", "key", "node")).alias("wanted"))
+    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("line", "key", "node", "merge")).alias("wanted"))
     texts = keyed.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")).join(wanted, "doc")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,24 +145,45 @@ def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
                 lines = text.as_py().split("\n")
                 for w in wanted:
                     tokens = tokens_of(lines[w["line"]])
-                    rows.append((w["key"], w["node"], np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens], np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "node", "line"])
+                    hashes = np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) or 1 for t in tokens], np.uint32).view(np.int32)
+                    rows.append((w["key"], w["node"], w["merge"], hashes))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "node", "merge", "line"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, template) of each line; in a block also the leaf, and what the template became."""
         for batch in batches:
-            out: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-            for leaf in batch.column(0):
+            for leaf, merge in zip(batch.column("lines"), batch.column("merge").to_pylist()):
                 key, line = leaf.values.flatten()
                 key, order = np.unique(key.to_numpy(), return_index=True)
                 hashes = line.flatten().to_numpy().reshape(len(line), -1)[order]
-                out.append(np.stack([key, key[templates(hashes)]], 1))
-            pairs = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "template"])
-
-    leaf = texts.mapInArrow(pick, "key long, node long, line array<int>").groupBy("node").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
+                found = Templates(hashes.shape[1])
+                at = [found.add(row, i) for i, row in enumerate(hashes)]
+                became = [None] * len(key)
+                if merge is not None:
+                    for n, i in enumerate(found.began):
+                        became[i] = found.known[n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(key[np.array(found.began)[at]]), pa.array([merge] * len(key), pa.int64()), pa.array(became, pa.list_(pa.int32()))], ["key", "template", "merge", "line"]
+                )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(part, whole) of the blocks' templates, leaf after leaf."""
+        leaf, found = None, None
+        for batch in batches:
+            part, whole = batch.column("part").to_pylist(), []
+            for key, of, line in zip(part, batch.column("merge").to_pylist(), batch.column("line")):
+                row = line.values.to_numpy()
+                if of != leaf:
+                    leaf, found = of, Templates(len(row))
+                whole.append(found.began[found.add(row, key)])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(whole, pa.int64())], ["part", "whole"])
+
+    leaf = texts.mapInArrow(pick, "key long, node long, merge long, line array<int>").groupBy("node", "merge").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
     with small_batches(keyed.sparkSession, 64):
-        parsed = store.write(leaf.select("lines").mapInArrow(parse, "key long, template long"), "templates")
-    parsed = parsed.withColumnRenamed("key", "of")
+        parsed = store.write(leaf.select("lines", "merge").mapInArrow(parse, "key long, template long, merge long, line array<int>"), "templates")
+    parts = parsed.where("line is not null").select(F.col("key").alias("part"), "merge", "line").repartition("merge").sortWithinPartitions("merge", "part")
+    merged = store.write(parts.mapInArrow(merge, "part long, whole long"), "merged")
+    parsed = parsed.join(merged, F.col("template") == F.col("part"), "left").select(F.col("key").alias("of"), F.coalesce("whole", "template").alias("template"))
     named = keys.join(parsed, F.col("key") == F.col("of"), "left").withColumn("template", F.coalesce("template", "key"))
     named = store.write(named.select("key", "template", "tokens", "docs", "first"), "named")
     held = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= UNLIKE)
