@@ -155,6 +155,13 @@ def test_own_text_tells_copies_apart(spark):
     assert [got[i] for i in range(90, 95)] == [4] * 5
 
 
+def test_parts_of_a_keeper_go(spark):
+    rng = np.random.default_rng(15)
+    passage = letters(rng, 40)
+    texts = ["\n".join([letters(rng, 60), passage, letters(rng, 60)]), passage, passage]
+    assert [r["n_dropped"] for r in line_dedup.drop_lines(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 1]
+
+
 def test_full_leaves_still_find_equal_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAF_LINES", 2)
     lines = [f"the very same leading tokens {'abcdefgh'[i]} then {'hgfedcba'[i]} some more words that differ {'qrstuvwx'[i]} at the end" for i in range(8)]

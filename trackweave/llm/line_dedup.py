@@ -258,11 +258,12 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     marked = lines.join(several.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
     marked = store.write(marked.select("doc", "line", "tokens", "template", "keeper", F.coalesce("docs", F.lit(1)).alias("docs")), "marked")
     own = store.write(_own_text(marked, texts), "own")
-    unlike = own.select("doc", "keeper", F.element_at("own", 1).alias("sig")).join(_copies(own.select("doc", "keeper", "own", "size"), texts), ["doc", "keeper"], "left_anti")
+    unlike = own.select("doc", "keeper", F.get("own", F.lit(0)).alias("sig")).join(_copies(own.select("doc", "keeper", "own", "size"), texts), ["doc", "keeper"], "left_anti")
     apart = store.write(marked.where("keeper <> doc").join(unlike, ["doc", "keeper"]).select("doc", "line", "tokens", "template", "sig"), "apart")
-    # the keeper is one, and copies of one document agree in the least pair of their own text
+    # the keeper is one, and copies of one document agree in the least pair of their own text;
+    # documents without any, mere parts of the keeper, are one together
     often = (
-        apart.select("template", "tokens", F.coalesce("sig", "doc").alias("sig")).distinct().groupBy("template")
+        apart.select("template", "tokens", F.coalesce("sig", F.lit(0)).alias("sig")).distinct().groupBy("template")
         .agg((F.count_distinct("sig") + 1).alias("unlike"), F.max("tokens").alias("tokens"))
         .where((F.col("unlike") >= UNLIKE) & (F.col("unlike") * F.col("tokens") >= TOKENS)).select("template")
     )
