@@ -63,6 +63,15 @@ def test_mix_with_caps_and_odd_rows(spark):
     assert mixing.mix(odd(spark)).count() == 11 and mixing.mix(odd(spark).limit(0)).count() == 0
 
 
+def test_mix_leaves_out_only_what_does_not_fit(spark):
+    for first in (0, 1000, 2000):
+        texts = ["w " * 2_000] + ["w " * (3 + i % 5) for i in range(300)] + ["w " * 500] * 2
+        sources = ["a"] * 301 + ["b"] * 2
+        rows = mixing.mix(docs(spark, texts, sources, ids=[first + i for i in range(303)])).where("source = 'a'").collect()
+        room = rows[0]["target"] - sum(r["taken"] for r in rows)
+        assert 0 <= room < min(r["size"] for r in rows if r["copies"] == 0)
+
+
 def test_newton_meets_several_margins(spark):
     cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 30.0), ("b", "y", 80.0), (None, "x", 10.0)], "s string, l string, tokens double")
     goals = {"s": spark.createDataFrame([("a", 90.0), ("b", 100.0), (None, 10.0)], "s string, target double"), "l": spark.createDataFrame([("x", 110.0), ("y", 90.0)], "l string, target double")}

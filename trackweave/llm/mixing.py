@@ -11,8 +11,6 @@ from trackweave.llm.common import WORD, scratch
 MOST = 3
 #: Buckets of the rounding order in one histogram pass.
 BUCKETS = 4096
-#: Passes that fill what rounding left of a source's target.
-FILLS = 4
 
 
 def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -93,10 +91,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A source's rate is its exponential tilt.  A document gets the rate's whole
     part; the fraction's words go to documents in an order given by a hash of the
-    id, as far as they fit (found by one histogram of that order and one look into
-    the bucket where it ends), then up to four more documents each source, the
-    largest that still fits first.  So a source falls short of its target by less
-    than its smallest remaining document, or by very little, and reruns agree.
+    id, as far as they fit: one histogram of that order and one look into the bucket
+    where it ends.  Documents larger than what is left are skipped then, and the pass
+    goes on over the others, until none fits.  So a source falls short of its target by
+    less than its smallest remaining document, and reruns agree.
 
     Null texts have size 0, a null source is a source of its own, and repeated ids
     round alike.  An empty table gives an empty result.  Other columns are ignored.
@@ -130,41 +128,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     rows = with_plan(sized, plan).withColumn("bucket", bucket)
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        rows.where(fits).groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-        .withColumn("sum", F.sum("words").over(running))
-        .groupBy("source").agg(
-            F.min(F.when(F.col("sum") > F.col("need"), F.col("bucket"))).alias("last"),
-            F.max(F.when(F.col("sum") <= F.col("need"), F.col("sum"))).alias("below"),
-        )
-    )
-    edge = store.write(edge, "edge")
-    rows = rows.join(edge.select(F.col("source").alias("of"), "last", F.coalesce("below", F.lit(0)).alias("below")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    at_edge = fits & (F.col("bucket") == F.col("last"))
     inside = Window.partitionBy("source").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    partial = rows.where(at_edge).withColumn("extra", (F.col("below") + F.sum("size").over(inside) <= F.col("need")).cast("int"))
-    others = rows.where(F.coalesce(~at_edge, F.lit(True))).withColumn("extra", F.when(fits & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))), 1).otherwise(0))
-    columns = ["id", "source", "size", "order", "source_size", "target", "rate", "whole", "need", "extra"]
-    chosen = store.write(partial.select(*columns).unionByName(others.select(*columns)), "rounded")
-    left = chosen.groupBy("source").agg((F.first("need") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
-    left = store.write(left, "left")
-    for _ in range(FILLS):
-        room = with_plan(chosen.where("extra = 0 and rate > whole and size > 0"), left).where("size <= left")
-        best = room.groupBy("source").agg(F.max(F.struct("size", "order")).alias("best"))
-        best = store.write(best.select(F.col("source").alias("of"), F.col("best.size").alias("more"), F.col("best.order").alias("pick")), "fill")
-        if best.isEmpty():
+    columns = ["id", "source", "size", "order", "bucket", "source_size", "target", "rate", "whole", "extra"]
+    chosen = store.write(rows.withColumn("extra", F.lit(0)).select(*columns), "rounded")
+    left = plan.select("source", F.col("need").alias("left"))
+    while True:
+        open_ = with_plan(chosen, left).withColumn("open", fits & (F.col("extra") == 0) & (F.col("size") <= F.col("left")))
+        edge = (
+            open_.where("open").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+            .withColumn("sum", F.sum("words").over(running))
+            .groupBy("source").agg(
+                F.min(F.when(F.col("sum") > F.col("left"), F.col("bucket"))).alias("last"),
+                F.coalesce(F.max(F.when(F.col("sum") <= F.col("left"), F.col("sum"))), F.lit(0)).alias("below"),
+            )
+        )
+        edge = store.write(edge.withColumnRenamed("source", "of"), "edge")
+        if edge.isEmpty():
+            store.drop(edge)
             break
-        # the same order value means the same id: its repeated rows would all be taken, so one row of them is
-        hit = chosen["source"].eqNullSafe(best["of"]) & (chosen["order"] == best["pick"]) & (chosen["size"] == best["more"])
-        marked = chosen.where("extra = 0").join(F.broadcast(best) if _few(best) else best, hit, "left").select(*[chosen[c] for c in columns], F.col("pick"))
-        first = Window.partitionBy("pick").orderBy("id")
-        picked = marked.where("pick is not null").withColumn("extra", F.when(F.row_number().over(first) == 1, 1).otherwise(0)).select(*columns)
-        following = store.write(chosen.where("extra = 1").unionByName(marked.where("pick is null").select(*columns)).unionByName(picked), "rounded")
+        open_ = open_.join(F.broadcast(edge) if _few(edge) else edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        at_edge = F.col("open") & F.coalesce(F.col("bucket") == F.col("last"), F.lit(False))
+        partial = open_.where(at_edge).withColumn("extra", (F.col("below") + F.sum("size").over(inside) <= F.col("left")).cast("int"))
+        others = open_.where(~at_edge).withColumn("extra", F.when(F.col("open") & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))), 1).otherwise(F.col("extra")))
+        following = store.write(partial.select(*columns).unionByName(others.select(*columns)), "rounded")
+        store.drop(edge)
         store.drop(chosen)
         chosen = following
-        left = store.write(
-            left.join(best, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("left") - F.coalesce("more", F.lit(0))).alias("left")), "left"
-        )
+        taken = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("taken")).withColumnRenamed("source", "of")
+        left = store.write(plan.join(taken, F.col("source").eqNullSafe(F.col("of"))).select("source", (F.col("need") - F.col("taken")).alias("left")), "left")
     copies = F.col("whole") + F.col("extra")
     return chosen.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
