@@ -88,3 +88,17 @@ def test_reductions(spark, sf_dir):
     weights = [r["weight"] for r in reduction.fuzzy_neighbours(few, edges.components(few), k=5).collect()]
     assert weights and all(0 < w <= 1 + 1e-9 for w in weights)
     assert reduction.layout(few, edges.build(few), rounds=2).count() == 60
+
+
+def test_nearest_over_all_vectors(spark, sf_dir):
+    few = fixtures.tracks(spark, sf_dir).where("ord < 70").withColumn("bpm", F.when(F.col("ord") == 3, 0.0).otherwise(F.col("bpm")))
+    rows = few.select("ord", "embedding").orderBy("ord").collect()
+    u = np.array([r["embedding"] for r in rows], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    d = np.round((1 - u @ u.T) / 2, 12)
+    np.fill_diagonal(d, np.inf)
+    want = {(min(i, j), max(i, j)) for i in range(70) for j in np.lexsort((np.arange(70), d[i]))[:5]}
+    found = reduction.nearest(few, k=5, tile=16)
+    assert {(r["src"], r["dst"]) for r in found.collect()} == want
+    weights = reduction.fuzzy_neighbours(few, found, k=5).collect()
+    assert {(r["src"], r["dst"]) for r in weights} == want

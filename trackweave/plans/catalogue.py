@@ -422,7 +422,7 @@ def setlist_pool(spark, sf_dir):
 @query()
 def setlist_walk(spark, sf_dir):
     songs, e = _stored(spark, sf_dir)
-    return setlist.generate(songs, e, 1500.0, min_bpm=90.0, max_bpm=140.0, attempts=8, seed=5)
+    return setlist.generate(songs, e, 1500.0, min_bpm=90.0, max_bpm=140.0, seed=5)
 
 
 @query()
@@ -510,7 +510,7 @@ def pca_reduce(spark, sf_dir):
 @query()
 def fuzzy_neighbours(spark, sf_dir):
     songs = fixtures.tracks(spark, sf_dir)
-    return reduction.fuzzy_neighbours(songs, edges.components(songs)).select("src", "dst", _six("weight"))
+    return reduction.fuzzy_neighbours(songs, reduction.nearest(songs)).select("src", "dst", _six("weight"))
 
 
 @query()
