@@ -221,8 +221,10 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Score of every whole text, 0 to 1, higher where label 1 is likelier.
 
-    The ``NEIGHBOURS`` labelled texts of largest TF-IDF cosine are found exactly with
-    a block-max inverted index; their votes, weighted by nearness, give a calibrated
+    The ``NEIGHBOURS`` labelled texts of largest TF-IDF cosine over the selected terms,
+    those over-represented in toxic texts, are found exactly with a block-max inverted
+    index; other terms count for nothing, so the nearest over all terms may be others and
+    a text without a selected term has no evidence; their votes, weighted by nearness, give a calibrated
     score, and they are returned as evidence.  Null and empty texts hold no term and
     score as any text without terms.  Without labels every score is 0.  Repeated rows
     are each returned; an empty table gives an empty result; other columns are ignored.
