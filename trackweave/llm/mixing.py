@@ -50,8 +50,8 @@ def entropy_balance(cells: DataFrame, margins: dict[str, DataFrame], tokens: str
     its documents hold; ``margins[column]`` is a table (column, target).  The least
     sum of tokens * (rate log rate - rate + 1) under every target has rates
     exp(sum of the multipliers of a cell's margins).  The dual is the log-sum-exp of
-    the multipliers; each round takes, margin by margin, its Newton step
-    log(target / tokens reached), from sums aggregated over all cells, until every
+    the multipliers; each round fits the margins one after another (iterative
+    proportional fitting), by log(target / tokens reached) from sums over all cells, until every
     margin is met within ``tolerance`` of its target.  One margin settles in one
     step; several come nearer geometrically, and contradictory ones raise an error.
     A target of zero gives rate zero; a null member of a margin is a member like
