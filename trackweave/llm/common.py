@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.scratch import scratch
 
@@ -16,6 +18,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def id_field(docs: DataFrame, id_col: str) -> T.StructField:
+    """A result's ``id`` field: ids keep their type."""
+    return T.StructField("id", docs.schema[id_col].dataType)
+
+
+def decoded(column: pa.Array) -> list[str]:
+    """Texts of a string or binary column; empty where null, bytes that are no UTF-8 replaced."""
+    return [(t.as_py() or b"").decode("utf-8", "replace") for t in column.cast(pa.binary())]
+
+
+def named_apart(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Groups that are broadcast at most, in a table of a few numbers each.
+BROADCAST = 200_000
+
+
+def spread(rows: DataFrame, keys: list[str], by: Column, most: int) -> DataFrame:
+    """``rows`` with ``sub``, which deals the rows of a group of ``keys`` by ``by`` to as many
+    parts as it has times ``most`` rows, and ``subs``, that number.
+
+    Only groups of more rows are looked up, at most one for ``most`` rows; they are broadcast
+    if their number is checked to be small and joined like any table otherwise, so a hot group
+    is not read by one task before it is dealt out.
+    """
+    store = scratch(rows.sparkSession)
+    crowds = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("subs")).where("subs > 1")
+    crowds = store.write(crowds.select(*[F.col(k).alias(f"of_{k}") for k in keys], "subs"), "crowds")
+    few = crowds.limit(BROADCAST + 1).count() <= BROADCAST
+    same = [F.col(k) == F.col(f"of_{k}") for k in keys]
+    met = rows.join(F.broadcast(crowds) if few else crowds, same, "left").drop(*[f"of_{k}" for k in keys])
+    return met.withColumn("subs", F.coalesce("subs", F.lit(1))).withColumn("sub", F.when(F.col("subs") > 1, F.pmod(F.xxhash64(by), F.col("subs"))).otherwise(F.lit(0)))
+
+
+def tile_pairs(tiles: DataFrame, within: list[str], place: str, steps: list[int], payload: str) -> DataFrame:
+    """``(within, one, other, same)``: each pair of tiles that meet, once.
+
+    Tiles are named by ``within``, ``place`` and ``sub``; those whose places are one of
+    ``steps`` apart meet, and of one place each two ``sub`` do.  Names meet first; a tile's
+    payload follows to its pairs by its whole name, so no place, however crowded, has all its
+    pairs in one task.
+    """
+    names = tiles.select(*within, place, "sub")
+    one = names.select(*within, F.col(place).alias("p"), F.col("sub").alias("s"), F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(steps)])).alias("step"))
+    one = one.withColumn("q", F.col("p") + F.col("step")).withColumnsRenamed({w: f"w_{w}" for w in within})
+    there = [F.col(f"w_{w}") == F.col(w) for w in within]
+    met = one.join(names, [*there, F.col("q") == F.col(place)]).where("step > 0 or s <= sub").select(*within, "p", "s", F.col("q"), F.col("sub").alias("r"))
+    left = tiles.select(*[F.col(w).alias(f"w_{w}") for w in within], F.col(place).alias("lp"), F.col("sub").alias("ls"), F.col(payload).alias("one"))
+    right = tiles.select(*[F.col(w).alias(f"w_{w}") for w in within], F.col(place).alias("rp"), F.col("sub").alias("rs"), F.col(payload).alias("other"))
+    met = met.join(left, [*there, F.col("p") == F.col("lp"), F.col("s") == F.col("ls")]).select(*within, "p", "s", "q", "r", "one")
+    met = met.join(right, [*there, F.col("q") == F.col("rp"), F.col("r") == F.col("rs")])
+    return met.select(*within, "one", "other", F.expr("p = q and s = r").alias("same"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackweave.llm.common import held_out
+from trackweave.llm.common import decoded, held_out, id_field
 from trackweave.llm.fitting import Logistic, sample_per_class
 
 #: Labelled texts of a class that are learnt from, and the longest of them in bytes.
@@ -195,8 +196,9 @@ def fit(rows: list, counts: dict) -> Model:
     searched without itself.  Texts without any term get the share of toxic ones
     among the labelled texts without any."""
     label = np.array([r["label"] for r in rows], float)
-    vocabulary = choose_terms([r["text"] for r in rows], label)
-    vectors = [vocabulary.vector(r["text"]) for r in rows]
+    texts = [bytes(r["text"]).decode("utf-8", "replace") for r in rows]
+    vocabulary = choose_terms(texts, label)
+    vectors = [vocabulary.vector(t) for t in texts]
     held = [i for i, v in enumerate(vectors) if len(v[0])]
     index = BlockMaxIndex([vectors[i][:2] for i in held], len(vocabulary.idf))
     drawn = {c: max(1, int((label == c).sum())) for c in counts}
@@ -227,7 +229,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     a text without a selected term has no evidence; their votes, weighted by nearness, give a calibrated
     score, and they are returned as evidence.  Null and empty texts hold no term and
     score as any text without terms.  Without labels every score is 0.  Repeated rows
-    are each returned; an empty table gives an empty result; other columns are ignored.
+    are each returned; ids keep their type; bytes that are no UTF-8 count as the replacement
+    character; an empty table gives an empty result; other columns are ignored.
 
     At most about ``per_class`` labelled texts of a class are learnt from, none over
     ``train_bytes``, which bounds the index every executor receives.
@@ -240,29 +243,37 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = shared.value
         for batch in batches:
             ids, out, text = batch.columns
-            found = [model.score(t.as_py() or "") for t in text]
+            found = [model.score(t) for t in decoded(text)]
             score = np.array([s for s, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, out, pa.array(score, pa.float64()), pa.array((score >= TOXIC_FROM).astype(np.int32)),
-                    pa.array([[model.ids[i] for _, i in near] for _, near in found], pa.list_(pa.int64())),
+                    pa.array([[model.ids[i] for _, i in near] for _, near in found], pa.list_(ids.type)),
                     pa.array([[s for s, _ in near] for _, near in found], pa.list_(pa.float64())),
                 ],
                 ["id", "held_out", "score", "predicted", "evidence", "cosines"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(each, "id long, held_out boolean, score double, predicted int, evidence array<long>, cosines array<double>").withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    id_ = id_field(docs, id_col)
+    fields = T.StructType([id_]).add("held_out", "boolean").add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(id_.dataType)).add("cosines", T.ArrayType(T.DoubleType()))
+    return texts.mapInArrow(each, fields).withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """``docs`` without the rows that ``score_toxicity`` predicts toxic, in one pass."""
+    """``docs`` without the rows that ``score_toxicity`` predicts toxic, in one pass.
+
+    Null and empty texts hold no term and stay unless texts without terms are toxic.
+    Repeated rows are judged one by one, bytes that are no UTF-8 count as the replacement
+    character, an empty table stays empty, and all columns are kept as they are.
+    """
+    at = docs.columns.index(text_col)
     shared = _fitted(docs, labels, id_col, text_col, label_col, per_class, train_bytes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            clean = [model.score(t.as_py() or "")[0] < TOXIC_FROM for t in batch.column(text_col)]
+            clean = [model.score(t)[0] < TOXIC_FROM for t in decoded(batch.column(at))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
