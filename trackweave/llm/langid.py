@@ -8,19 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackweave.llm.common import held_out
+from trackweave.llm.common import held_out, id_field
 from trackweave.llm.fitting import sample_per_class
 
 #: Longest context, in bytes.
 ORDER = 3
-#: Training texts of a language, and the longest of them in bytes.
-PER_LANGUAGE, TRAIN_BYTES = 400, 65_536
-#: Languages learnt, those with most documents.
-LANGUAGES = 64
-#: Contexts of two and of three bytes that a model keeps, those seen most often, and
-#: code lengths in its table: the fewer languages, the more contexts fit.
-CONTEXTS, TABLE = 20_000, 40_000_000
+#: Training texts of a language, the longest of them and all of them together in bytes.
+PER_LANGUAGE, TRAIN_BYTES, LANGUAGE_BYTES = 400, 65_536, 2 << 20
 #: Bytes that are scored at a time.
 BLOCK = 1 << 20
 #: Bits that count as one in the posterior, since neighbouring bytes are no independent evidence.
@@ -29,19 +25,78 @@ PAD = b"\n" * ORDER
 UNKNOWN = "und"
 
 
-class Model:
-    """Context trees of several languages, compiled to one table of code lengths.
+class Tree:
+    """The context tree of one language, as code lengths in bits.
 
-    ``rows`` maps the last three bytes to a row of ``bits``: the longest context any
-    language has seen.  ``bits[row, symbol, language]`` is the exact code length of
-    the symbol there, escapes to shorter contexts included.
+    ``one[context, symbol]`` holds all of order one, escapes included.  For longer
+    contexts ``known`` has the (context, symbol) codes that were seen, sorted, with their
+    ``bits``, and ``contexts`` those that were seen with the cost of leaving them, so a
+    symbol not seen there costs that and what the next shorter context says.
     """
 
-    def __init__(self, languages: list[str], symbols: np.ndarray, width: int, rows: np.ndarray, bits: np.ndarray):
-        self.languages, self.symbols, self.width, self.rows, self.bits = languages, symbols, width, rows, bits
+    def __init__(self, stream: np.ndarray, width: int):
+        self.width = width
+        counts = [_counts(stream, width, k) for k in range(ORDER + 1)]
+        p = self._refine(np.full((1, width), 1.0 / width), np.zeros(1, np.int64), counts[0])
+        self.one = self._refine(np.repeat(p, width, 0), np.arange(width), counts[1])
+        with np.errstate(divide="ignore"):
+            self.one = -np.log2(self.one)
+        self.longer = []
+        for code, n in counts[2:]:
+            contexts, at = np.unique(code // width, return_inverse=True)
+            total, kinds = np.bincount(at, n), np.bincount(at)
+            left = 1.0 - np.bincount(at, np.exp2(-self.bits(code)))
+            leave = -np.log2(kinds / (total + kinds) / np.maximum(left, 1e-12))
+            self.longer.append((code, -np.log2(n / (total[at] + kinds[at])), contexts, leave))
+
+    def _refine(self, shorter: np.ndarray, contexts: np.ndarray, seen: tuple) -> np.ndarray:
+        """Probabilities in all ``contexts`` from those one symbol shorter."""
+        code, n = seen
+        at, symbol = code // self.width, code % self.width
+        total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
+        left = 1.0 - np.bincount(at, shorter[at, symbol], len(contexts))
+        out = shorter.copy()
+        known = kinds > 0
+        out[known] *= (kinds[known] / (total[known] + kinds[known]) / np.maximum(left[known], 1e-12))[:, None]
+        out[at, symbol] = n / (total[at] + kinds[at])
+        return out
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Exact code lengths of (context, symbol) codes, under the orders built so far."""
+        cost = self.one[code // self.width % self.width, code % self.width]
+        for order, (known, bits, contexts, leave) in enumerate(self.longer, 2):
+            pair = code % self.width ** (order + 1)
+            at, there = _find(known, pair)
+            up, met = _find(contexts, pair // self.width)
+            cost = np.where(there, bits[at], cost + np.where(met, leave[up], 0.0))
+        return cost
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def _counts(symbols: np.ndarray, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) codes of a stream and their counts."""
+    code = np.zeros(len(symbols) - ORDER, np.int64)
+    for k in range(order, -1, -1):
+        code = code * width + symbols[ORDER - k : len(symbols) - k]
+    return np.unique(code, return_counts=True)
+
+
+class Model:
+    """A context tree for each language, over symbols that are bytes seen in any."""
+
+    def __init__(self, languages: list[str], symbols: np.ndarray, width: int, trees: list[Tree]):
+        self.languages, self.symbols, self.width, self.trees = languages, symbols, width, trees
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each whole text under each language."""
+        """Bits of each whole text under each language.
+
+        Every context with its symbol is looked up once in a block of texts, however
+        often it stands there.
+        """
         total = np.zeros((len(texts), len(self.languages)))
         at = 0
         while at < len(texts):
@@ -51,7 +106,7 @@ class Model:
                 upto += 1
             joined = np.frombuffer(PAD + PAD.join(texts[at:upto]), np.uint8)
             lengths = np.fromiter(map(len, texts[at:upto]), np.int64, upto - at)
-            owner = np.repeat(np.arange(at, upto), lengths + ORDER)[: len(joined) - ORDER]
+            owner = np.repeat(np.arange(upto - at), lengths + ORDER)[: len(joined) - ORDER]
             own = np.ones(len(owner), bool)
             gaps = np.cumsum(lengths + ORDER)[:-1]
             for k in range(ORDER):
@@ -59,81 +114,31 @@ class Model:
             for lo in range(0, len(owner), BLOCK):
                 hi = min(lo + BLOCK, len(owner))
                 s = self.symbols[joined[lo : hi + ORDER]].astype(np.int64)
-                row = self.rows[(s[:-3] * self.width + s[1:-2]) * self.width + s[2:-1]]
-                cost = self.bits[row * self.width + s[3:]]
+                code = ((s[:-3] * self.width + s[1:-2]) * self.width + s[2:-1]) * self.width + s[3:]
                 keep = own[lo:hi]
-                for language in range(total.shape[1]):
-                    total[at:upto, language] += np.bincount(owner[lo:hi][keep] - at, cost[keep, language], upto - at)
+                met = pa.array(code[keep]).dictionary_encode()
+                which, distinct, of = met.indices.to_numpy(), met.dictionary.to_numpy(), owner[lo:hi][keep]
+                for language, tree in enumerate(self.trees):
+                    total[at:upto, language] += np.bincount(of, tree.bits(distinct)[which], upto - at)
             at = upto
         return total
 
 
-def _tree(symbols: np.ndarray, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) codes of a stream and their counts."""
-    code = np.zeros(len(symbols) - ORDER, np.int64)
-    for k in range(order, -1, -1):
-        code = code * width + symbols[ORDER - k : len(symbols) - k]
-    return np.unique(code, return_counts=True)
-
-
-def fit(texts: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model:
+def fit(texts: dict[str, list[bytes]]) -> Model:
     """Count contexts up to three bytes in each language and freeze their code lengths.
 
     Escapes follow method C: a context seen n times with q different symbols keeps
     q / (n + q) for the symbols it has not seen, shared as the next shorter context
     shares them among those alone; a context never seen passes on at no cost.  Below
-    the empty context all symbols are alike.
+    the empty context all symbols are alike.  Every context of the texts is kept.
     """
     languages = sorted(texts)
     streams = {name: PAD + PAD.join(texts[name]) for name in languages}
     seen = sorted(set(b"".join(streams.values())))
     width = len(seen) + 1  # the last symbol stands for all bytes never seen
-    table = np.full(256, len(seen), np.uint8)
+    table = np.full(256, len(seen), np.uint16)
     table[seen] = np.arange(len(seen))
-    coded = {name: table[np.frombuffer(s, np.uint8)].astype(np.int64) for name, s in streams.items()}
-    counts = {name: [_tree(s, width, k) for k in range(ORDER + 1)] for name, s in coded.items()}
-
-    def most(order: int, limit: int) -> np.ndarray:
-        """Codes of the contexts of that order seen most often in all languages together."""
-        every = np.concatenate([np.repeat(c // width, n) for c, n in (counts[name][order] for name in languages)])
-        codes, often = np.unique(every, return_counts=True)
-        return np.sort(codes[np.argsort(-often, kind="stable")[:limit]])
-
-    room = max(0, TABLE // (width * len(languages)) - width)
-    pairs = most(2, min(contexts, room))
-    kept = most(ORDER, min(contexts, room - len(pairs)))
-    kept = kept[np.isin(kept % width**2, pairs)]
-    n1, n2, n3 = width, len(pairs), len(kept)
-    by_pair = np.tile(np.arange(width, dtype=np.int32), width)  # by the last symbol
-    by_pair[pairs] = n1 + np.arange(n2)
-    rows = np.tile(by_pair, width)
-    rows[kept] = n1 + n2 + np.arange(n3)
-    bits = np.empty((n1 + n2 + n3, width, len(languages)), np.float32)
-
-    def refine(shorter: np.ndarray, contexts: np.ndarray, tree: tuple) -> np.ndarray:
-        """Probabilities in ``contexts`` (sorted codes), from those one symbol shorter."""
-        code, n = tree
-        at = np.searchsorted(contexts, code // width)
-        ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == code // width)
-        at, symbol, n = at[ok], (code % width)[ok], n[ok]
-        total, kinds = np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts))
-        spread = np.bincount(at, shorter[at, symbol], len(contexts))
-        out = shorter.copy()
-        known = kinds > 0
-        left = np.maximum(1.0 - spread[known], 1e-12)
-        out[known] *= (kinds[known] / (total[known] + kinds[known]) / left)[:, None]
-        out[at, symbol] = n / (total[at] + kinds[at])
-        return out
-
-    for which, name in enumerate(languages):
-        trees = counts[name]
-        p = np.full((1, width), 1.0 / width)
-        p = refine(p, np.zeros(1, np.int64), trees[0])
-        one = refine(np.repeat(p, width, 0), np.arange(width), trees[1])
-        two = refine(one[pairs % width], pairs, trees[2])
-        three = refine(two[np.searchsorted(pairs, kept % width**2)], kept, trees[3])
-        bits[:, :, which] = -np.log2(np.concatenate([one, two, three]))
-    return Model(languages, table, width, rows, bits.reshape(-1, len(languages)))
+    return Model(languages, table, width, [Tree(table[np.frombuffer(streams[name], np.uint8)].astype(np.int64), width) for name in languages])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, train_bytes: int = TRAIN_BYTES) -> DataFrame:
@@ -141,19 +146,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     The text's code length in bits under each language's frozen trees decides; ties
     go to the first name.  ``und`` with score 0 where the text is null or has no
-    letter, or nothing could be learnt.  Repeated rows are each returned; an empty
-    table gives an empty result; columns beyond the three named are ignored.
+    letter, or nothing could be learnt.  Repeated rows are each returned; ids keep their
+    type; bytes that are no UTF-8 are coded as they are; an empty table gives an empty
+    result; columns beyond the three named are ignored.
 
-    Learning takes at most about ``per_language`` texts of each of the ``LANGUAGES`` with
-    most documents, none over ``train_bytes``; ``TABLE`` bounds the model, so it can be
-    sent to every executor.
+    Every language is learnt, from at most about ``per_language`` texts, none over
+    ``train_bytes``, within ``LANGUAGE_BYTES`` and the bounds of ``sample_per_class`` on all
+    together, so the trees can be sent to every executor.
     Returns id, held_out, lang_pred, score (posterior of that language), bits.
     """
     spark = docs.sparkSession
-    learnt, _ = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language", LANGUAGES)
+    learnt, _ = sample_per_class(docs, docs.select(F.col(id_col), F.col(lang_col).alias("label")), per_language, train_bytes, id_col, text_col, "language", LANGUAGE_BYTES)
     texts: dict[str, list[bytes]] = {}
     for r in learnt:
-        texts.setdefault(r["label"], []).append(r["text"].encode().lower())
+        texts.setdefault(r["label"], []).append(bytes(r["text"]))
     shared = spark.sparkContext.broadcast(fit(texts)) if texts else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +169,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             use = np.flatnonzero(letters.to_numpy(zero_copy_only=False)) if shared else []
             if len(use):
                 model = shared.value
-                bits = model.code_lengths([raw[int(i)].as_py().encode().lower() for i in use])
+                bits = model.code_lengths([raw[int(i)].as_py() for i in use])
                 best = bits.argmin(axis=1)
                 low = bits[np.arange(len(use)), best]
                 scores[use] = 1 / np.exp2(-(bits - low[:, None]) / TEMPERATURE).sum(axis=1)
                 least[use] = low
                 for i, b in zip(use.tolist(), best.tolist()):
                     names[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([ids, out, pa.array(names), pa.array(scores), pa.array(least)], ["id", "held_out", "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, out, pa.array(names, pa.string()), pa.array(scores), pa.array(least)], ["id", "held_out", "lang_pred", "score", "bits"])
 
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
-    return rows.mapInArrow(each, "id long, held_out boolean, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.cast("binary").alias("text"))
+    fields = T.StructType([id_field(docs, id_col)]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("bits", "double")
+    return rows.mapInArrow(each, fields).withColumnRenamed("id", id_col)
