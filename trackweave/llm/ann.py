@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm.common import scratch
-from trackweave.llm.vectors import children, distinct, lengths, matrix, small_batches, usable
+from trackweave.llm.vectors import children, distinct, lengths, matrix, scaled, sizes, small_batches, usable
 
 #: Codebooks, entries of each, paths the encoder keeps, vectors they are trained on.
 BOOKS, ENTRIES, BEAM, TRAIN = 8, 256, 4, 8192
@@ -69,8 +69,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     return codes[:, 0, :]
 
 
-def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> tuple[DataFrame, np.ndarray, int]:
-    """The written index of all comparable vectors, its codebooks and their dimension.
+def build(vectors: DataFrame, dims: int, k: int = 5) -> tuple[DataFrame, np.ndarray]:
+    """The written index of all ``vectors(id, vector)`` of ``dims`` dimensions, and its codebooks.
 
     Codebooks are trained on at most about ``TRAIN`` vectors of least hash; every
     vector is encoded.  Exact copies share one entry that names their ``k + 1``
@@ -79,11 +79,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """
     spark = vectors.sparkSession
     store = scratch(spark)
-    rows = store.write(distinct(usable(vectors, id_col, vector_col), k + 1).withColumn("order", F.xxhash64("vector")), "distinct")
+    rows = store.write(distinct(vectors, k + 1).withColumn("order", F.xxhash64("vector")), "distinct")
     n = rows.count()
-    dims = rows.select(F.size("vector").alias("n")).first()["n"] if n else 1
     share = F.col("order") / F.lit(2.0**64) + 0.5
-    sample = np.array([r["vector"] for r in rows.where(share < min(1.0, TRAIN / max(1, n))).orderBy("order").limit(2 * TRAIN).select("vector").toLocalIterator()], np.float64).reshape(-1, dims)
+    sample = scaled(np.array([r["vector"] for r in rows.where(share < min(1.0, TRAIN / max(1, n))).orderBy("order").limit(2 * TRAIN).select("vector").toLocalIterator()], np.float64).reshape(-1, dims))
     books = train(sample / lengths(sample)[:, None])
     shared = spark.sparkContext.broadcast(books)
 
@@ -99,7 +98,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     dealt = rows.select("ids", "vector", F.pmod("order", F.lit(blocks)).cast("int").alias("block"))
     encoded = dealt.mapInArrow(codes, T.StructType([*dealt.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("norm", T.DoubleType())]))
     index = encoded.groupBy("block").agg(F.collect_list(F.struct("ids", "vector", "code", "norm")).alias("entries"))
-    return store.write(index, "index"), books, dims
+    return store.write(index, "index"), books
 
 
 def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
@@ -112,16 +111,31 @@ def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vecto
     estimate lies within three standard deviations, as those measured it, of the
     k-th.  Ties go to the smaller id; a query's own id is no candidate of it.
 
-    Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components are neither queries nor candidates.  Repeated query rows
-    count once.  Empty tables give an empty result; other columns are ignored.
+    Queries meet vectors of their own number of dimensions alone.  Vectors that are null,
+    zero, or hold null or non-finite components are neither queries nor candidates; tiny and
+    huge components count like any others.  A repeated query id counts once, with its least vector.  Ids are whole
+    numbers.  Empty tables give an empty result; other columns are ignored.
     Returns query_id, rank (from 1), vec_id, score.
     """
+    store = scratch(vectors.sparkSession)
+    whole = lambda rows: usable(rows, id_col, vector_col).select(F.col("id").cast("long").alias("id"), "vector")
+    asked = store.write(whole(queries).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
+    known = store.write(whole(vectors), "usable")
+    found = None
+    for dims in sizes(asked):
+        part = _search(asked.where(F.size("vector") == dims), known.where(F.size("vector") == dims), dims, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(asked: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each block of the index the ``k`` nearest."""
     spark = vectors.sparkSession
     store = scratch(spark)
-    index, books, dims = build(vectors, id_col, vector_col, k)
-    asked = usable(queries, id_col, vector_col).where(F.size("vector") == dims).dropDuplicates(["id"])
-    asked = store.write(asked, "queries")
+    index, books = build(vectors, dims, k)
     parts = max(1, -(-asked.count() // QUERIES))
     packed = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
     blocks = index.select(F.max("block")).first()[0]
@@ -137,9 +151,7 @@ def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     with small_batches(spark, 4):
-        found = store.write(pairs.mapInArrow(look, "query_id long, vec_id long, score double"), "found")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return store.write(pairs.mapInArrow(look, "query_id long, vec_id long, score double"), "found")
 
 
 def _search_block(asked: pa.StructArray, entries: pa.StructArray, books: np.ndarray, dims: int, k: int) -> list[tuple[int, int, float]]:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackweave.llm.common import connected_components, scratch
-from trackweave.llm.vectors import children, comparable, lengths, matrix, small_batches, usable
+from trackweave.llm.common import connected_components, scratch, spread, tile_pairs
+from trackweave.llm.vectors import children, comparable, lengths, matrix, sizes, small_batches, usable
 
 #: Blocks of dimensions, leading dimensions of each that name a cell, vectors in a tile.
 BLOCKS, GRID, TILE = 8, 2, 1024
@@ -85,18 +85,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     too is left to that one, so each link is counted once and pairs are never written:
     a tile pair yields sums of links and as many edges as connect the same vectors.
 
-    Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing and are groups of their own.  Rows of one
-    id are compared like any others.  An empty table gives an empty result; other
-    columns are ignored.
+    Vectors of each number of dimensions are joined among themselves.  Vectors that are
+    null, zero, or hold null or non-finite components link with nothing and are groups of
+    their own; components are scaled by powers of two, so tiny and huge ones count like any
+    others.  Rows of one id are compared like any others.  Ids are whole numbers.  An empty
+    table gives an empty result; other columns are ignored.
     Returns id, n_links, component_id (smallest id reachable), kept.
     """
-    spark = vectors.sparkSession
-    store = scratch(spark)
-    rows = store.write(usable(vectors, id_col, vector_col), "usable")
+    store = scratch(vectors.sparkSession)
+    rows = store.write(usable(vectors, id_col, vector_col).select(F.col("id").cast("long").alias("id"), "vector"), "usable")
     classes = store.write(rows.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = classes.select(F.size("vector").alias("n")).first()
-    dims = first["n"] if first else 1
+    fits = comparable(F.col(vector_col)) & F.col(id_col).isNotNull()
+    out = vectors.where(~F.coalesce(fits, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
+    for dims in sizes(classes):
+        named = _classes(classes.where(F.size("vector") == dims), dims, cosine).withColumnRenamed("vector", "of")
+        out = out.unionByName(rows.where(F.size("vector") == dims).join(named, F.col("vector") == F.col("of")).select("id", "n_links", "component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+
+
+def _classes(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """``(vector, n_links, component_id)`` of distinct vectors of ``dims`` dimensions."""
+    spark = classes.sparkSession
+    store = scratch(spark)
     shared = spark.sparkContext.broadcast(Subspaces(_second_moment(classes, dims), cosine))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,17 +117,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     located = classes.mapInArrow(locate, T.StructType([*classes.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))]))
     located = located.select("rep", "copies", "vector", F.posexplode("cells").alias("block", "cell"))
-    crowds = located.groupBy("block", "cell").agg(F.ceil(F.count("*") / TILE).alias("n"))
-    tiles = store.write(
-        located.join(crowds, ["block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("n")))
-        .groupBy("block", "cell", "sub").agg(F.collect_list(F.struct("rep", "copies", "vector")).alias("tile")),
-        "tiles",
-    )
+    dealt = spread(located, ["block", "cell"], F.col("rep"), TILE)
+    tiles = store.write(dealt.groupBy("block", "cell", "sub").agg(F.collect_list(F.struct("rep", "copies", "vector")).alias("tile")), "tiles")
     steps = [sum(d * CELL**g for g, d in enumerate(delta)) for delta in product((-1, 0, 1), repeat=GRID)]
-    near = F.array(*[F.lit(s).cast("long") for s in steps if s >= 0])
-    left = tiles.select("block", F.col("sub").alias("s"), F.col("tile").alias("one"), F.explode(near).alias("step"), F.col("cell").alias("c"))
-    left = left.withColumn("cell", F.col("c") + F.col("step")).drop("c")
-    pairs = left.join(tiles, ["block", "cell"]).where("step > 0 or s <= sub").select("block", "one", F.col("tile").alias("other"), F.expr("step = 0 and s = sub").alias("same"))
+    pairs = tile_pairs(tiles, ["block"], "cell", [s for s in steps if s >= 0], "tile")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,17 +129,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
     with small_batches(spark, 4):
-        found = store.write(pairs.mapInArrow(link, "a long, b long, n long"), "links")
+        found = store.write(pairs.select("block", "one", "other", "same").mapInArrow(link, "a long, b long, n long"), "links")
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     groups = connected_components(found.where("n = 0").select("a", "b"))
-    named = (
+    return (
         classes.join(links, F.col("rep") == links["a"], "left").join(groups, F.col("rep") == groups["id"], "left")
-        .select(F.col("vector").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    mine = rows.join(named, F.col("vector") == F.col("of")).select("id", "n_links", "component_id")
-    fits = comparable(F.col(vector_col)) & F.col(id_col).isNotNull() & (F.size(vector_col) == dims)
-    alone = vectors.where(~F.coalesce(fits, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
-    return mine.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
 
 
 def _link_tiles(block: int, one: pa.StructArray, other: pa.StructArray, same: bool, spaces: Subspaces, cosine: float, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

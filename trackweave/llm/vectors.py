@@ -19,10 +19,14 @@ def comparable(v: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, vector)`` of comparable rows with an id, of the commonest length (ties: the shorter)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & comparable(F.col("vector")))
-    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (length["n"] if length else 0))
+    """``(id, vector)`` of comparable rows with an id."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    return rows.where(F.col("id").isNotNull() & comparable(F.col("vector")))
+
+
+def sizes(rows: DataFrame) -> list[int]:
+    """The numbers of dimensions that the vectors have; only vectors of one size have a cosine."""
+    return sorted(r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().collect())
 
 
 def distinct(rows: DataFrame, keep: int) -> DataFrame:
@@ -42,8 +46,15 @@ def children(rows: pa.StructArray) -> dict[str, pa.Array]:
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of an Arrow list column as doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    """Rows of an Arrow list column as ``scaled`` doubles."""
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between a half and
+    one: no cosine changes by it, and no square is lost to underflow or overflow."""
+    largest = np.abs(x).max(axis=1, initial=0.0)
+    return np.ldexp(x, -np.frexp(largest)[1][:, None])
 
 
 def lengths(x: np.ndarray) -> np.ndarray:
