@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from trackweave import constants as C
 from trackweave.functions import music
+from trackweave.scratch import scratch
 
 #: Width of a tempo bucket: a ratio within 8 percent moves the logarithm by less.
 WIDTH = math.log(1 + C.MAX_TEMPO_PCT / 100 + 1e-4)
@@ -83,8 +84,15 @@ def _blocked(left: DataFrame, right: DataFrame, direct_only: bool, oriented: boo
     # the second track's tempo times a factor lies in one of two buckets shifted by the factor's own
     shifts = [[d + e for d in (-1, 0, 1) for e in (math.floor(math.log(f) / WIDTH), math.floor(math.log(f) / WIDTH) + 1)] for f, _ in factors]
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(s).cast("long").alias("shift")) for i, near in enumerate(shifts) for s in sorted(set(near))]))
-    b = other.select(F.col("k").alias("kb"), F.col("tile").alias("b"), moves.alias("m")).select("b", "m.f", (F.col("kb") + F.col("m.shift")).alias("k"))
-    pairs = one.select("k", F.col("tile").alias("a")).join(b, "k").select("f", "a", "b")
+    # names meet first, and tiles follow by their whole names: a bucket that many tracks share
+    # does not have all its pairs in one task, and no tile is copied for partners it lacks
+    store = scratch(left.sparkSession)
+    one = store.write(one, "tiles")
+    other = one if right is left else store.write(other, "tiles")
+    b = other.select(F.col("k").alias("kb"), F.col("s").alias("sb"), moves.alias("m")).select("kb", "sb", "m.f", (F.col("kb") + F.col("m.shift")).alias("ka"))
+    met = one.select(F.col("k").alias("ka"), F.col("s").alias("sa")).join(b, "ka")
+    met = met.join(one.select(F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("tile").alias("a")), ["ka", "sa"])
+    pairs = met.join(other.select(F.col("k").alias("kb"), F.col("s").alias("sb"), F.col("tile").alias("b")), ["kb", "sb"]).select("f", "a", "b")
     types = [t for _, t in factors]
 
     def columns(tile: pa.StructArray) -> tuple[np.ndarray, ...]:
@@ -128,6 +136,24 @@ def components(songs: DataFrame, other: DataFrame | None = None, direct_only: bo
     return {"native": _native, "blocked": _blocked}[method](left, right, direct_only, other is None)
 
 
+def components_of(pairs: DataFrame, songs: DataFrame) -> DataFrame:
+    """``pairs(src, dst, edge_type, ...)`` with the components of their edges, whichever of
+    the two tracks is faster by a factor of the type."""
+    rows = prepare(songs)
+    a, b = (rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns]) for s in ("a", "b"))
+    met = pairs.join(a, F.col("src") == F.col("a_ord")).join(b, F.col("dst") == F.col("b_ord"))
+    pct = None
+    for factor, name in C.TEMPO_FACTORS:
+        for x, y in (("a_bpm", "b_bpm"), ("b_bpm", "a_bpm")):
+            here = F.when(F.col("edge_type") == name, music.tempo_pct(F.col(x), F.col(y) * factor))
+            pct = here if pct is None else F.least(pct, here)
+    cosine = F.aggregate(F.zip_with("a_unit", "b_unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return met.select(
+        *pairs.columns, music.harmonic_distance(F.col("a_pos"), F.col("b_pos")).alias("harmonic"), (pct / C.MAX_TEMPO_PCT).alias("tempo"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.coalesce(cosine, F.lit(0.0))) / 2)).alias("semantic"),
+    )
+
+
 def weigh(parts: DataFrame, weights: dict | None = None, penalties: dict | None = None) -> DataFrame:
     """Edges from their components; new weights need no new join."""
     cost = music.composite(F.col("harmonic"), F.col("tempo"), F.col("semantic"), F.col("edge_type"), weights, penalties)

@@ -21,7 +21,8 @@ def fixed_stride(start: int, n: int, rate: int) -> list[tuple[int, int]]:
 
 
 def merge_undersized(segments: list[tuple[int, int]], rate: int) -> list[tuple[int, int]]:
-    """Neighbours joined until each has 12 seconds; a short tail joins the one before."""
+    """Neighbours joined until each has 12 seconds; a short tail joins the one before, or is
+    kept where it is all there is and has a second."""
     least = int(C.CHUNK_MIN * rate)
     out: list[list[int]] = []
     held: list[int] | None = None
@@ -32,6 +33,8 @@ def merge_undersized(segments: list[tuple[int, int]], rate: int) -> list[tuple[i
             held = None
     if held and out:
         out[-1][1] += held[1]
+    elif held and held[1] >= int(C.CHUNK_VALID * rate):
+        out.append(held)
     return [tuple(p) for p in out]
 
 

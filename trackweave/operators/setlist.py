@@ -34,8 +34,8 @@ class Walks:
     Choices are drawn by a hash of seed, attempt and step, so a seed fixes the result.
     """
 
-    def __init__(self, songs: DataFrame, edges: DataFrame, *, min_bpm: float = 0.0, max_bpm: float = 999.0, set_key: str | None = None, allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music", seed: int = 42):
-        self.songs, self.edges, self.seed = songs, edges, seed
+    def __init__(self, songs: DataFrame, edges: DataFrame, *, min_bpm: float = 0.0, max_bpm: float = 999.0, set_key: str | None = None, allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music", seed: int = 42, attempts: int = C.ATTEMPTS):
+        self.songs, self.edges, self.seed, self.attempts = songs, edges, seed, attempts
         self.spark, self.store = songs.sparkSession, scratch(songs.sparkSession)
         self.min_bpm, self.max_bpm, self.set_key = min_bpm, max_bpm, set_key
         self.filters = {"allowed_types": allowed_types, "excluded_dirs": excluded_dirs, "base": base}
@@ -47,8 +47,9 @@ class Walks:
         self.near = self.store.write(near.select("node", "other", "weight"), "near")
 
     def pool(self, key: str | None = None) -> DataFrame:
-        rows = filters.pool(self.songs, self.min_bpm, self.max_bpm, key or self.set_key, self.filters["excluded_dirs"], self.filters["base"])
-        return rows.select("ord")
+        """Tracks that may be drawn; a segment's key counts besides the set's."""
+        rows = filters.pool(self.songs, self.min_bpm, self.max_bpm, self.set_key, self.filters["excluded_dirs"], self.filters["base"])
+        return (rows.where(F.col("key") == key) if key else rows).select("ord")
 
     def has(self, node: int) -> bool:
         return not self.facts.where(F.col("ord") == node).isEmpty()
@@ -116,9 +117,10 @@ class Walks:
         return [r["ord"] for r in found.orderBy("pos").collect()][1:]
 
     def segment(self, cur: int, key: str | None, target: float, ending_key: str | None = None) -> list[int]:
-        """Tracks after ``cur`` on one walk whose total, that of ``cur`` included, reaches the target."""
-        start = self.spark.createDataFrame([(0, cur)], "attempt int, cur long")
-        return self.walk(start, self.pool(key), target, ending_key).first()["visited"][1:]
+        """Tracks after ``cur`` on the first of several walks whose total, that of ``cur``
+        included, reaches the target, else on the longest."""
+        tries = self.spark.range(self.attempts).select(F.col("id").cast("int").alias("attempt"), F.lit(cur).cast("long").alias("cur"))
+        return self.best(self.walk(tries, self.pool(key), target, ending_key), target)[1:]
 
 
 def generate(songs: DataFrame, edges: DataFrame, target_seconds: float, *, starting_song: int | None = None, starting_key: str | None = None, ending_song: int | None = None, ending_key: str | None = None, waypoints: list[Waypoint] | None = None, attempts: int = C.ATTEMPTS, seed: int = 42, **constraints: object) -> DataFrame:
@@ -129,7 +131,7 @@ def generate(songs: DataFrame, edges: DataFrame, target_seconds: float, *, start
     that song.  With waypoints, walks fill the time before each timed one, paths lead to
     the others, and a last walk fills what remains.  Tracks may recur across segments.
     """
-    walks = Walks(songs, edges, seed=seed, **constraints)
+    walks = Walks(songs, edges, seed=seed, attempts=attempts, **constraints)
     if ending_song is not None:
         ending_key = None
     for node in [starting_song, ending_song, *[w.song for w in waypoints or []]]:

@@ -217,10 +217,10 @@ def song_lookup(spark, sf_dir):
     return songs.where(F.col("ord").isin(found)).select("ord", "file_path")
 
 
-@query(O.with_edges("select node, list_sort(list(distinct other)) as others from adj group by node").replace("list_sort(list(distinct other)) as others", "count(distinct other) as degree, min(other) as first, max(other) as last"))
+@query(O.with_edges("select node, list_sort(list(distinct other)) as others from adj group by node").replace("list_sort(list(distinct other)) as others", "count(distinct other) as degree, array_to_string(list_sort(list(distinct other)), ',') as others"))
 def adjacency_sets(spark, sf_dir):
     sets = neighbours.adjacency_sets(edges.build(fixtures.tracks(spark, sf_dir)))
-    return sets.select("node", F.size("others").cast("long").alias("degree"), F.array_min("others").alias("first"), F.array_max("others").alias("last"))
+    return sets.select("node", F.size("others").cast("long").alias("degree"), F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
 
 
 @query(O.with_edges("select lo as src, hi as dst, round(weight, 6) as weight from (select least(node, other) as lo, greatest(node, other) as hi, weight, row_number() over (partition by least(node, other), greatest(node, other) order by node) as n from adj) where n = 1"))
@@ -268,7 +268,7 @@ def shortest_path_cost(spark, sf_dir):
     return paths.path(songs, e, [0, 400]).agg(F.round(F.max("cum_cost"), 6).alias("total_cost"))
 
 
-@query()
+@query(O.route([(0, 400)], "select w.pos, w.ord, round(coalesce(w.dist - lag(w.dist) over (order by w.pos), 0), 6) as hop_cost, round(w.dist, 6) as cum_cost from way w"))
 def shortest_path(spark, sf_dir):
     songs, e = _stored(spark, sf_dir)
     return paths.path(songs, e, [0, 400]).select("pos", "ord", _six("hop_cost"), _six("cum_cost"))
@@ -280,7 +280,7 @@ def multi_stop_cost(spark, sf_dir):
     return paths.path(songs, e, [0, 100, 100, 250, 400]).agg(F.round(F.max("cum_cost"), 6).alias("total_cost"))
 
 
-@query()
+@query(O.route([(0, 100), (100, 250), (250, 400)], "select w.pos, w.ord, a.edge_type, round(w.dist, 6) as cum_cost from way w left join way n on n.pos = w.pos + 1 left join adj a on a.node = w.ord and a.other = n.ord"))
 def multi_stop_path(spark, sf_dir):
     songs, e = _stored(spark, sf_dir)
     found = scratch(spark).write(paths.path(songs, e, [0, 100, 250, 400]), "found")
@@ -340,7 +340,10 @@ def fingerprint_pairs(spark, sf_dir):
     return dedup.fingerprint_pairs(fixtures.fingerprints(spark, sf_dir)).select("a", "b", _six("similarity"))
 
 
-@query()
+@query(_PRINTS.replace("with p as", "with recursive p as", 1) + f""", m as (select a, b from s where similarity >= 0.8),
+inline as materialized (select p.ord, row_number() over (order by p.ord) as n, coalesce(list(m.a) filter (m.a is not null), []) as earlier from p left join m on m.b = p.ord group by p.ord),
+walk(n, kept) as (select 0::bigint, []::bigint[] union all select i.n, case when list_has_any(kept, earlier) then kept else list_append(kept, i.ord) end from walk w join inline i on i.n = w.n + 1)
+select t.ord, t.file_path from ({O.TRACKS}) t where t.ord in (select unnest(kept) from walk where n = (select max(n) from walk))""")
 def fingerprint_dedup(spark, sf_dir):
     return dedup.greedy_fingerprints(_printed(spark, sf_dir)).select("ord", "file_path")
 
@@ -507,7 +510,7 @@ def pca_reduce(spark, sf_dir):
     return reduced.select("ord", "filename", F.size("embedding").alias("dims"), F.round(music.norm(F.col("embedding")), 4).alias("length"))
 
 
-@query()
+@query(O.fuzzy(15, 30))
 def fuzzy_neighbours(spark, sf_dir):
     songs = fixtures.tracks(spark, sf_dir)
     return reduction.fuzzy_neighbours(songs, reduction.nearest(songs)).select("src", "dst", _six("weight"))

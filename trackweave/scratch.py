@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OPEN: dict[str, "Scratch"] = {}
 
@@ -14,8 +15,9 @@ _OPEN: dict[str, "Scratch"] = {}
 class Scratch:
     """Writes a table and reads it again.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests on one machine) a temporary folder stands in.  A written table
+    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset and
+    all runs on one machine (tests) a temporary folder stands in, a cluster without it is
+    an error.  A written table
     cuts the lineage and survives the loss of any executor.
     """
 
@@ -23,6 +25,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: scratch tables need a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="trackweave-")
         self.root = f"{base.rstrip('/')}/trackweave-{uuid.uuid4().hex}"
         atexit.register(self._clear)
@@ -56,3 +60,18 @@ def scratch(spark: SparkSession) -> Scratch:
     if app not in _OPEN:
         _OPEN[app] = Scratch(spark)
     return _OPEN[app]
+
+
+def numbered(rows: DataFrame, by: list[str], column: str, after: int = -1) -> DataFrame:
+    """``rows`` with their place in the order of ``by``, from ``after`` + 1 on.
+
+    Rows are dealt out by ranges and written; counts of the ranges give each its offset, so
+    no task sees all rows.
+    """
+    store = scratch(rows.sparkSession)
+    dealt = store.write(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = dealt.groupBy("_range").count().select(F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_range").orderBy(*by)
+    placed = dealt.withColumn("_place", F.row_number().over(within)).join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    return placed.select(*rows.columns, (F.col("_offset") + F.col("_place") + after).cast("long").alias(column))

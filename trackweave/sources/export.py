@@ -16,6 +16,15 @@ def write_manifest(manifest: DataFrame, path: str) -> str:
     return target
 
 
+def save(manifest: DataFrame, path: str) -> str:
+    """Copy the tracks that are there into the setlist's folder and write the manifest of all;
+    returns the folder.  Where ``path`` is no plain folder only the manifest is written."""
+    target = write_manifest(manifest, path)
+    if "://" not in path:
+        copy_tracks(manifest, path).agg(F.count("*")).collect()
+    return target
+
+
 def copy_tracks(manifest: DataFrame, path: str) -> DataFrame:
     """Copy each track into the setlist's folder, skipping missing ones: (pos, target, copied).
 

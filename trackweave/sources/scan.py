@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave import constants as C
+from trackweave import scratch
 from trackweave.operators import dedup
 
 
@@ -51,6 +52,6 @@ def changes(spark: SparkSession, directory: str, known: DataFrame, excluded: lis
 def numbered(files: DataFrame, after: int = -1) -> DataFrame:
     """``ord`` in the order of paths, from ``after`` + 1 on.
 
-    A library's file list is numbered in one sort; contents are not part of it.
+    Ranges of paths are numbered apart; contents are not part of it.
     """
-    return files.withColumn("ord", (F.row_number().over(Window.orderBy("file_path")) + after).cast("long"))
+    return scratch.numbered(files, ["file_path"], "ord", after)
