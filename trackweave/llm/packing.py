@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackweave.llm.common import WORD, scratch
+from trackweave.llm.common import WORD, id_field, scratch
 
 #: Words a bin holds, documents of one source it may hold, and rows packed together.
 CAPACITY, PER_SOURCE, GROUP_ROWS = 2048, 8, 20_000
@@ -124,32 +125,35 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     No bin holds two documents of one duplicate cluster (``cluster``; by default equal
     texts, as a mix repeats them) nor more than ``per_source`` of one source.  Documents
     are dealt by hash to groups of about ``group_rows`` that are packed apart, so copies
-    and sources spread evenly and every group leaves only its last bins ill filled.
+    and sources spread evenly and every group leaves only its last bins ill filled.  Rows
+    alike in all that counts are numbered and dealt one by one, however many they are.
 
     Documents without words (null, empty, white space) are returned once with a null
-    bin.  A null source is a source like any other; rows of one id are packed in one
-    group and, as equal texts, exclude each other; an empty table gives an empty result; other columns are ignored.
+    bin.  A null source is a source like any other; repeated rows are packed one by one and,
+    as equal texts, exclude each other; ids keep their type; an empty table gives an empty
+    result; other columns are ignored.
     Returns id, piece, bin, bin_offset, start (first word in the document), words.
     """
     store = scratch(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (F.xxhash64(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     )
-    rows = store.write(rows, "sized")
-    groups = max(1, -(-rows.count() // group_rows))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    rows = store.write(rows.groupBy("id", "source", "size", "cluster").agg(F.count("*").alias("times")), "sized")
+    groups = max(1, -(-(rows.agg(F.sum("times")).first()[0] or 0) // group_rows))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "copy"), F.lit(groups)))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "cluster"], kind="stable", na_position="last")
+        frame = frame.sort_values(["id", "copy", "cluster", "size"], kind="stable", na_position="last")
         packed = pack_rows(list(zip(frame["size"].tolist(), frame["source"].tolist(), frame["cluster"].tolist())), capacity, per_source)
         base = int(frame["part"].iloc[0]) << 32
         out = [(i, k, base + b, offset, start, words) for i, row in zip(frame["id"].tolist(), packed) for k, (b, offset, start, words) in enumerate(row)]
         return pd.DataFrame(out, columns=["id", "piece", "bin", "bin_offset", "start", "words"])
 
-    schema = "id long, piece int, bin long, bin_offset int, start long, words int"
+    schema = T.StructType([id_field(docs, id_col)]).add("piece", "integer").add("bin", "long").add("bin_offset", "integer").add("start", "long").add("words", "integer")
     packed = dealt.where("size > 0").groupBy("part").applyInPandas(each, schema)
     none = rows.where("size = 0").select("id", F.lit(0).alias("piece"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("bin_offset"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("words"))
     return packed.unionByName(none).withColumnRenamed("id", id_col)
