@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import scratch
+from trackweave.llm.common import scratch, spread
 
 #: Bits of the key that one round of probes resolves, and the key's length:
 #: 64 bits of the text's hash, then 64 bits of the id's.
@@ -108,11 +108,12 @@ def _place(edges: list[int]) -> Column:
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.05, fine: float = 0.001) -> DataFrame:
     """Deal every document to one of ``n_shards`` shards of near-equal bytes.
 
-    Keys are the text's hash, then the id's hash, so equal texts lie side by side.
-    Boundaries are searched by histogram sort and fall between groups of equal
-    texts wherever that costs at most ``slack`` of a shard's bytes; a larger group
-    is split by id hash, exactly where the bytes balance.  Rows are then exchanged
-    once to number their slots.
+    Keys are the text's hash, then the id's hash, so a shard is a range of keys and equal
+    texts lie in one shard.  Boundaries are searched by histogram sort and fall between
+    groups of equal texts wherever that costs at most ``slack`` of a shard's bytes; a larger
+    group is split by id hash, exactly where the bytes balance.  Rows are then exchanged
+    once, by ranges of the text's hash, to number their slots in the order of the keys; a
+    range that a hot text crowds is numbered in parts by the id's hash, each in that order.
 
     Null texts have size 16 and crc32 0 and count as one group, as empty texts do.
     Repeated rows are placed one by one.  An empty table gives an empty result;
@@ -134,14 +135,16 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         "keyed",
     )
     edges = splitters(keyed, n_shards, slack, fine)
-    per_shard = max(8, -(-keyed.count() // (n_shards * GROUP_ROWS)))
-    placed = keyed.withColumns({"shard": _place(edges), "part": F.pmod(F.col("k2"), F.lit(per_shard))})
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "part").orderBy("k1", "k2", "id")
+    ranges = max(8 * n_shards, -(-keyed.count() // (GROUP_ROWS // 4)))
+    bits = min(48, (ranges - 1).bit_length())
+    placed = keyed.withColumns({"shard": _place(edges), "part": F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.lit(-TOP)), HALF - bits)})
+    placed = spread(placed, ["shard", "part"], F.col("k2"), GROUP_ROWS).drop("subs")
+    before = Window.partitionBy("shard").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "part", "sub").count().select("shard", "part", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("shard", "part", "sub").orderBy("k1", "k2", "id")
     return (
         placed.withColumn("rank", F.row_number().over(within))
-        .join(offsets, ["shard", "part"])
+        .join(offsets, ["shard", "part", "sub"])
         .select(
             F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
             (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
@@ -150,10 +153,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder per shard, rows sorted by slot in each file."""
+    """Write ``docs`` as one folder per shard, rows sorted by slot in each file.
+
+    ``placed`` is what ``shard_by_bytes`` gives of ``docs``.  Rows of a repeated id are written
+    once for each of its places; rows with a null id are not written; an empty table writes
+    an empty folder.  A column named ``shard`` or ``slot`` is replaced.
+    """
     keys = placed.select(F.col(id_col), "shard", "slot")
     chunk = F.floor(F.col("slot") / GROUP_ROWS)
     (
-        docs.join(keys, id_col).repartition("shard", chunk).sortWithinPartitions("shard", "slot")
+        docs.drop("shard", "slot").join(keys, id_col).repartition("shard", chunk).sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").parquet(path)
     )
