@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackweave.llm.common import scratch
+from trackweave.llm.common import BROADCAST, decoded, scratch, spread
+from trackweave.llm.tokens import line_name, mixed, tokenised
 from trackweave.llm.vectors import small_batches
 
 #: Leading tokens on the path to a leaf, and share of equal tokens that joins a template.
@@ -23,38 +23,10 @@ UNLIKE, TOKENS = 2, 30
 #: stands there, and if neither is over so many times as long.
 COPY, PAIRS, LONGER = 0.5, 16, 2
 #: Other documents that are compared with one in a row.
-HOLDERS = 4096
+HOLDERS = 512
 #: Distinct lines, and tokens in them, that are parsed at once; a fuller leaf is parsed in
 #: blocks whose templates are then merged.
 LEAF_LINES, LEAF_TOKENS = 4096, 1 << 22
-#: A token with any of these is a variable field, written ``<*>``.
-_VARIABLE = re.compile(r"[0-9@]|://")
-FIELD = "<*>"
-
-
-def tokens_of(line: str) -> list[str]:
-    """Lower-cased tokens of a line, variable fields replaced."""
-    tokens = line.lower().split()
-    if _VARIABLE.search(line):
-        tokens = [FIELD if _VARIABLE.search(t) else t for t in tokens]
-    return tokens
-
-
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def path_of(tokens: list[str]) -> tuple[int, int]:
-    """Hashes of the line itself and of its leaf (token count and leading tokens)."""
-    return _hash(*tokens), _hash(str(len(tokens)), *tokens[:DEPTH])
-
-
-def pairs_of(tokens: list[str]) -> set[int]:
-    """Hashes of a line's pairs of neighbouring tokens; of the token, where it is the only one."""
-    follow = tokens[1:] or [""]
-    return {_hash(a, b) for a, b in zip(tokens, follow)}
-
-
 class Templates:
     """Templates of one leaf, in the order they began.
 
@@ -93,35 +65,46 @@ class Templates:
         return at
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, id, line, tokens, key, leaf, fresh) of every line that has tokens;
-    ``fresh`` is 1 for the document's first line of that key, else 0."""
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(id, doc, line, tokens, key, leaf, fresh, lines) of every line that has tokens.
+
+    ``fresh`` is 1 for the document's first line of that key, else 0; ``lines`` is the
+    number of such lines of the document, on the first of them, else 0.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc, id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                seen = set()
-                for number, line in enumerate((text.as_py() or "").split("\n")):
-                    if not (tokens := tokens_of(line)):
-                        continue
-                    path = path_of(tokens)
-                    for column, value in zip(out, (doc, id_, number, len(tokens), *path, path[0] not in seen)):
-                        column.append(value)
-                    seen.add(path[0])
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if t != pa.int32() else pa.array(np.array(c, np.int32)) for c, t in zip(out, types)], ["doc", "id", "line", "tokens", "key", "leaf", "fresh"])
-
-    return docs.select("_doc", "_id", "_text").mapInArrow(each, "doc long, id long, line int, tokens int, key long, leaf long, fresh int")
-
-
-def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+            found = []
+            for part in tokenised(decoded(batch.column(2))):
+                found.append((part.text, part.line, part.count, *part.paths(DEPTH)))
+            text, line, count, key, leaf = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.empty(0, np.int64) for k in range(5))
+            with np.errstate(over="ignore"):
+                _, first = np.unique(key * np.int64(0x5851F42D4C957F2D) + text, return_index=True)
+            fresh = np.zeros(len(key), np.int32)
+            fresh[first] = 1
+            total = np.bincount(text, minlength=batch.num_rows)
+            total = np.where(np.diff(text, prepend=-1) != 0, total[text], 0)
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(leaf), pa.array(fresh), pa.array(total.astype(np.int32))],
+                names,
+            )
+
+    names = ["id", "doc", "line", "tokens", "key", "leaf", "fresh", "lines"]
+    rows = keyed.select("id", "doc", "raw")
+    fields = [rows.schema["id"], T.StructField("doc", T.LongType())]
+    fields += [T.StructField(n, T.LongType() if n in ("key", "leaf") else T.IntegerType()) for n in names[2:]]
+    return rows.mapInArrow(each, T.StructType(fields))
+
+
+def shared(keyed: DataFrame, lines: DataFrame, repeated: bool = True) -> DataFrame:
     """``(key, template, docs, keeper)`` of every line whose template several documents
     hold; ``keeper`` is the one with the smallest id.
 
     Equal lines are counted before any shuffle.  A leaf with several different lines
     is parsed as one row of about ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token hashes;
     a fuller leaf as several, dealt by hash, whose templates are merged by the same rule.
+    ``repeated`` says whether rows may be alike in id and text.
     """
     store = scratch(keyed.sparkSession)
     keys = lines.groupBy("key", "leaf", "tokens").agg(
@@ -136,18 +119,24 @@ def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
         .select("key", "node", F.when(F.col("blocks") > 1, F.col("leaf")).alias("merge"), F.col("sample.doc").alias("doc"), F.col("sample.line").alias("line"))
     )
     wanted = several.groupBy("doc").agg(F.collect_list(F.struct("line", "key", "node", "merge")).alias("wanted"))
-    texts = keyed.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")).join(wanted, "doc")
+    texts = keyed.select("doc", "raw").join(wanted, "doc")
+    texts = texts.dropDuplicates(["doc"]) if repeated else texts
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
-                lines = text.as_py().split("\n")
-                for w in wanted:
-                    tokens = tokens_of(lines[w["line"]])
-                    hashes = np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) or 1 for t in tokens], np.uint32).view(np.int32)
-                    rows.append((w["key"], w["node"], w["merge"], hashes))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "node", "merge", "line"])
+            lists = batch.column("wanted")
+            line, key, node, merge = lists.flatten().flatten()
+            want = line_name(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), line.to_numpy())
+            order = np.argsort(want)
+            at, rows = [], []
+            for part in tokenised(decoded(batch.column("raw"))):
+                there = part.names()
+                place = np.searchsorted(there, want[order])
+                hit = (place < len(there)) & (there[np.minimum(place, len(there) - 1)] == want[order]) if len(there) else np.zeros(len(order), bool)
+                at.append(order[hit])
+                rows += [part.row(i) for i in place[hit].tolist()]
+            at = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([key.take(at), node.take(at), merge.take(at), pa.array(rows, pa.list_(pa.int32()))], ["key", "node", "merge", "line"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, template) of each line; in a block also the leaf, and what the template became."""
@@ -178,7 +167,7 @@ def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
                 whole.append(found.began[found.add(row, key)])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(whole, pa.int64())], ["part", "whole"])
 
-    leaf = texts.mapInArrow(pick, "key long, node long, merge long, line array<int>").groupBy("node", "merge").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
+    leaf = texts.select("raw", "wanted").mapInArrow(pick, "key long, node long, merge long, line array<int>").groupBy("node", "merge").agg(F.collect_list(F.struct("key", "line")).alias("lines"))
     with small_batches(keyed.sparkSession, 64):
         parsed = store.write(leaf.select("lines", "merge").mapInArrow(parse, "key long, template long, merge long, line array<int>"), "templates")
     parts = parsed.where("line is not null").select(F.col("key").alias("part"), "merge", "line").repartition("merge").sortWithinPartitions("merge", "part")
@@ -190,7 +179,7 @@ def shared(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     return store.write(named.select("key", "template").join(held, "template").select("key", "template", "docs", F.col("first.doc").alias("keeper")), "shared")
 
 
-def _own_text(marked: DataFrame, texts: DataFrame) -> DataFrame:
+def _own_text(marked: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     """(doc, keeper, own, size) of every document and each keeper of some of its lines.
 
     ``own`` are the least hashes of the token pairs in the document's own text: of the
@@ -204,70 +193,92 @@ def _own_text(marked: DataFrame, texts: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs = batch.column("doc").to_pylist()
+            least: list[dict[int, list[int]]] = [{} for _ in docs]
+            size = np.zeros(len(docs), np.int64)
+            for part in tokenised(decoded(batch.column("raw"))):
+                np.add.at(size, part.text, part.count)
+                ends, hashes = part.least_pairs(PAIRS)
+                hashes, at = hashes.tolist(), 0
+                for text, line, end in zip(part.text.tolist(), part.line.tolist(), ends.tolist()):
+                    least[text][line] = hashes[at:end]
+                    at = end
             rows = []
-            for doc, text, marks in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("lines").to_pylist()):
-                tokens = {n: tokens_of(line) for n, line in enumerate(text.as_py().split("\n"))}
-                size = sum(map(len, tokens.values()))
+            for n, (doc, marks) in enumerate(zip(docs, batch.column("lines").to_pylist())):
                 known: dict[tuple, list[int]] = {}
                 for keeper in {m["keeper"] for m in marks} - {None, doc}:
                     rest = [m for m in marks if m["keeper"] != keeper]
-                    least = min((m["docs"] for m in rest), default=0)
-                    own = tuple(sorted(m["line"] for m in rest if m["docs"] <= 2 * least))
+                    rarest = min((m["docs"] for m in rest), default=0)
+                    own = tuple(sorted(m["line"] for m in rest if m["docs"] <= 2 * rarest))
                     if own not in known:
-                        known[own] = sorted(set().union(*(pairs_of(tokens[n]) for n in own)))[:PAIRS]
-                    rows.append((doc, keeper, known[own], size))
+                        known[own] = sorted(set().union(*(least[n][line] for line in own)))[:PAIRS]
+                    rows.append((doc, keeper, known[own], size[n]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()))], ["doc", "keeper", "own", "size"])
 
-    rows = texts.join(lines, "doc").select("doc", "text", "lines")
-    return rows.mapInArrow(each, "doc long, keeper long, own array<long>, size long").dropDuplicates(["doc", "keeper"])
+    rows = texts.join(lines, "doc")
+    rows = (rows.dropDuplicates(["doc"]) if repeated else rows).select("doc", "raw", "lines")
+    return rows.mapInArrow(each, "doc long, keeper long, own array<long>, size long")
+
+
+def _apart(pairs: np.ndarray, row: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(pairs.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _copies(own: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, keeper) of documents that are copies of the keeper: their own text stands there."""
-    many = own.groupBy("keeper").agg(F.ceil(F.count("*") / HOLDERS).alias("parts"))
-    groups = own.join(many, "keeper").groupBy("keeper", F.pmod("doc", "parts").alias("part")).agg(F.collect_list(F.struct("doc", "own", "size")).alias("holders"))
-    rows = groups.join(texts.withColumnRenamed("doc", "of"), F.col("keeper") == F.col("of")).select("keeper", "text", "holders")
+    """(keeper, own, size) of documents that are copies of the keeper: their own text stands there."""
+    groups = spread(own.distinct(), ["keeper"], F.struct("own", "size"), HOLDERS).groupBy("keeper", "sub").agg(F.collect_list(F.struct("own", "size")).alias("holders"))
+    rows = groups.join(texts.withColumnRenamed("doc", "of"), F.col("keeper") == F.col("of")).select("keeper", "raw", "holders")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs: list[int] = []
-            keepers: list[int] = []
-            for keeper, text, holders in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                lines = [tokens_of(line) for line in text.as_py().split("\n")]
-                size, pairs = sum(map(len, lines)), set().union(*map(pairs_of, filter(None, lines)))
-                for h in holders.as_py():
-                    like = sum(p in pairs for p in h["own"]) >= COPY * len(h["own"])
-                    if like and max(size, h["size"]) <= LONGER * min(size, h["size"]):
-                        docs.append(h["doc"])
-                        keepers.append(keeper)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keepers, pa.int64())], ["doc", "keeper"])
+            # pairs of a keeper's text, told apart by its row
+            size, there = np.zeros(batch.num_rows, np.int64), [np.empty(0, np.uint64)]
+            for part in tokenised(decoded(batch.column("raw"))):
+                np.add.at(size, part.text, part.count)
+                which, pairs = part.pairs()
+                there.append(_apart(pairs, part.text[which]))
+            holders = batch.column("holders")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(holders.offsets.to_numpy()))
+            own, sizes = holders.flatten().flatten()
+            width, lengths = np.diff(own.offsets.to_numpy()), sizes.to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(width)), width)
+            found = np.isin(_apart(own.flatten().to_numpy(), row[of]), np.unique(np.concatenate(there)))
+            like = np.bincount(of, found, len(width)) >= COPY * width
+            like &= np.maximum(size[row], lengths) <= LONGER * np.minimum(size[row], lengths)
+            at = pa.array(np.flatnonzero(like))
+            yield pa.RecordBatch.from_arrays([batch.column("keeper").take(pa.array(row[like])), own.take(at), sizes.take(at)], ["keeper", "own", "size"])
 
     with small_batches(texts.sparkSession, 64):
-        return scratch(texts.sparkSession).write(rows.mapInArrow(each, "doc long, keeper long").distinct(), "copies")
+        return scratch(texts.sparkSession).write(rows.mapInArrow(each, "keeper long, own array<long>, size long").distinct(), "copies")
 
 
 def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     """``(doc, line)`` of every line to drop: its template recurs, and its document is no
     copy of the keeper.
 
-    Every holder is compared with the keeper alone, so work grows with the lines.
+    Every holder is compared with the keeper alone, so work grows with the lines; holders
+    with equal own text are compared once.
     """
     store = scratch(keyed.sparkSession)
-    several = shared(keyed, lines)
-    texts = keyed.where("_text is not null").select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
+    repeated = not lines.where("lines > 0").groupBy("doc").count().where("count > 1").isEmpty()
+    several = shared(keyed, lines, repeated)
+    texts = keyed.where("raw is not null").select("doc", "raw")
     marked = lines.join(several.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
     marked = store.write(marked.select("doc", "line", "tokens", "template", "keeper", F.coalesce("docs", F.lit(1)).alias("docs")), "marked")
-    own = store.write(_own_text(marked, texts), "own")
-    unlike = own.select("doc", "keeper", F.get("own", F.lit(0)).alias("sig")).join(_copies(own.select("doc", "keeper", "own", "size"), texts), ["doc", "keeper"], "left_anti")
+    own = store.write(_own_text(marked, texts, repeated), "own")
+    unlike = own.join(_copies(own.select("keeper", "own", "size"), texts), ["keeper", "own", "size"], "left_anti").select("doc", "keeper", F.get("own", F.lit(0)).alias("sig"))
     apart = store.write(marked.where("keeper <> doc").join(unlike, ["doc", "keeper"]).select("doc", "line", "tokens", "template", "sig"), "apart")
     # the keeper is one, and copies of one document agree in the least pair of their own text;
     # documents without any, mere parts of the keeper, are one together
-    often = (
+    often = store.write(
         apart.select("template", "tokens", F.coalesce("sig", F.lit(0)).alias("sig")).distinct().groupBy("template")
-        .agg((F.count_distinct("sig") + 1).alias("unlike"), F.max("tokens").alias("tokens"))
-        .where((F.col("unlike") >= UNLIKE) & (F.col("unlike") * F.col("tokens") >= TOKENS)).select("template")
+        .agg((F.count("*") + 1).alias("unlike"), F.max("tokens").alias("tokens"))
+        .where((F.col("unlike") >= UNLIKE) & (F.col("unlike") * F.col("tokens") >= TOKENS)).select("template"),
+        "often",
     )
-    return apart.join(often, "template").select("doc", "line")
+    few = often.limit(BROADCAST + 1).count() <= BROADCAST
+    return apart.join(F.broadcast(often) if few else often, "template").select("doc", "line")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,22 +297,22 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts stay as they are, lines without tokens are never dropped.
     Repeated rows (same id and text) count as several documents but are treated
-    alike.  An empty table gives an empty result; all columns of ``docs`` are kept.
-    Adds n_lines (lines with tokens) and n_dropped.
+    alike.  Bytes that are no UTF-8 count as the replacement character.  Ids may be of any
+    type that can be ordered.  An empty table gives an empty result; all columns of ``docs``
+    are kept.  Adds n_lines (lines with tokens) and n_dropped, in place of any columns so named.
     """
-    spark = docs.sparkSession
-    store = scratch(spark)
-    columns = docs.columns
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_doc": F.xxhash64(id_col, text_col), "_text": F.col(text_col)})
+    store = scratch(docs.sparkSession)
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).cast("binary").alias("raw"))
     lines = store.write(_lines(keyed), "lines")
-    drops = recurring(keyed, lines).groupBy("doc").agg(F.collect_set("line").alias("_drop"))
-    count = lines.groupBy("doc").agg(F.count_distinct("line").cast("int").alias("n_lines"))
-    drops = store.write(count.join(drops, "doc", "left").withColumnRenamed("doc", "_of"), "drops")
-    joined = keyed.join(drops, F.col("_doc") == F.col("_of"), "left")
-    rest = F.transform(F.split("_text", "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    kept = F.array_join(F.transform(F.filter(rest, lambda p: ~F.array_contains("_drop", p["i"])), lambda p: p["line"]), "\n")
-    text = F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_text"))
+    drops = recurring(keyed, lines).groupBy("doc").agg(F.collect_set("line").alias("drop"))
+    count = lines.where("lines > 0").select("doc", "lines").distinct()
+    drops = store.write(count.join(drops, "doc", "left").withColumnRenamed("doc", "of"), "drops")
+    parts = docs.select(F.struct(*[c for c in columns if c != text_col], F.lit(0).alias("0")).alias("row"), F.xxhash64(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("parts"))
+    joined = parts.join(drops, F.col("doc") == F.col("of"), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drop"))
+    text = F.array_join(F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.transform(stay, lambda i: F.get(F.col("parts"), i))), "\n")
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in columns],
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"),
+        *[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns],
+        F.coalesce("lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"),
     )
