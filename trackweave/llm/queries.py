@@ -56,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality, op2_embedding_dedup, op3_language, op4_mixing, op5_simhash,
-        op6_line_dedup, op7_nearest, op8_packing, op9_sharding, op10_toxicity,
+        op6_line_dedup, op7_nearest, op8_packing, op9_sharding, op10_toxicity, mixing_targets,
     )}
 
 
@@ -67,6 +67,23 @@ r(id, other) as (select vec_id, vec_id from v union select r.id, l.b from r join
 select id as vec_id, (select count(*) from l where l.a = id) as n_links, min(other) as component_id, id = min(other) as kept from r group by id"""
 
 
+#: Sizes and water-filled targets of operator 4: caps of the sources of least cap / weight first.
+_TARGETS = """with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) as n from d group by source),
+w as (select *, (n - 1) % 3 + 1 as weight, cast(3 * source_size as double) as cap, sum(source_size) over () as whole from s),
+r as (select *, coalesce(sum(cap) over (order by cap / weight, n rows between unbounded preceding and 1 preceding), 0) as below, sum(weight) over (order by cap / weight, n rows between current row and unbounded following) as rest from w),
+l as (select *, (whole - below) / rest as level, cap / weight <= (whole - below) / rest as capped from r),
+t as (select source, source_size, case when capped then cap else weight * (max(case when not capped then level end) over ()) end as target from l)
+select d.doc_id, cast(d.size as bigint) as size, t.source_size, round(t.target, 6) as target from d join t on d.source is not distinct from t.source"""
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of operator 4: sizes and targets, without the rounding into copies."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL can't express the others: their hashes, models or greedy choices have no like in it."""
-    return {"op2_embedding_dedup": _LINKS}
+    """SQL of what it can express; hashes that it lacks, models and greedy choices are tested
+    against brute force instead."""
+    return {"op2_embedding_dedup": _LINKS, "mixing_targets": _TARGETS}
