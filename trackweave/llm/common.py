@@ -36,6 +36,8 @@ def named_apart(columns: list[str], name: str) -> str:
     return name
 
 
+#: Tiles of one place that are sent to others together.
+PACK = 8
 #: Groups that are broadcast at most, in a table of a few numbers each.
 BROADCAST = 200_000
 
@@ -61,20 +63,22 @@ def tile_pairs(tiles: DataFrame, within: list[str], place: str, steps: list[int]
     """``(within, one, other, same)``: each pair of tiles that meet, once.
 
     Tiles are named by ``within``, ``place`` and ``sub``; those whose places are one of
-    ``steps`` apart meet, and of one place each two ``sub`` do.  Names meet first; a tile's
-    payload follows to its pairs by its whole name, so no place, however crowded, has all its
-    pairs in one task.
+    ``steps`` apart meet, and of one place each two ``sub`` do.  Packs of ``PACK`` tiles of a
+    place meet by name first, then each tile is sent to the meetings of its pack: no place,
+    however crowded, has all its pairs in one task, and a tile is copied once a pack that its
+    own one meets, not once a partner.
     """
-    names = tiles.select(*within, place, "sub")
-    one = names.select(*within, F.col(place).alias("p"), F.col("sub").alias("s"), F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(steps)])).alias("step"))
-    one = one.withColumn("q", F.col("p") + F.col("step")).withColumnsRenamed({w: f"w_{w}" for w in within})
+    named = tiles.withColumn("g", F.floor(F.col("sub") / PACK).cast("long"))
+    names = named.select(*within, place, "g").distinct()
+    one = names.select(*[F.col(w).alias(f"w_{w}") for w in within], F.col(place).alias("p"), F.col("g").alias("pg"), F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(steps)])).alias("step"))
     there = [F.col(f"w_{w}") == F.col(w) for w in within]
-    met = one.join(names, [*there, F.col("q") == F.col(place)]).where("step > 0 or s <= sub").select(*within, "p", "s", F.col("q"), F.col("sub").alias("r"))
-    left = tiles.select(*[F.col(w).alias(f"w_{w}") for w in within], F.col(place).alias("lp"), F.col("sub").alias("ls"), F.col(payload).alias("one"))
-    right = tiles.select(*[F.col(w).alias(f"w_{w}") for w in within], F.col(place).alias("rp"), F.col("sub").alias("rs"), F.col(payload).alias("other"))
-    met = met.join(left, [*there, F.col("p") == F.col("lp"), F.col("s") == F.col("ls")]).select(*within, "p", "s", "q", "r", "one")
-    met = met.join(right, [*there, F.col("q") == F.col("rp"), F.col("r") == F.col("rs")])
-    return met.select(*within, "one", "other", F.expr("p = q and s = r").alias("same"))
+    met = one.join(names, [*there, F.col("p") + F.col("step") == F.col(place)]).where("step > 0 or pg <= g").select(*[f"w_{w}" for w in within], "p", "pg", F.col(place).alias("q"), F.col("g").alias("qg"))
+    met = scratch(tiles.sparkSession).write(met, "meetings")
+    key = [*[f"w_{w}" for w in within], "p", "pg", "q", "qg"]
+    left = met.join(named, [*there, F.col("p") == F.col(place), F.col("pg") == F.col("g")]).select(*key, F.col("sub").alias("s"), F.col(payload).alias("one"))
+    right = met.join(named, [*there, F.col("q") == F.col(place), F.col("qg") == F.col("g")]).select(*key, F.col("sub").alias("r"), F.col(payload).alias("other"))
+    pairs = left.join(right, key).where("p <> q or s <= r")
+    return pairs.select(*[F.col(f"w_{w}").alias(w) for w in within], "one", "other", F.expr("p = q and s = r").alias("same"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
