@@ -102,3 +102,26 @@ def test_nearest_over_all_vectors(spark, sf_dir):
     assert {(r["src"], r["dst"]) for r in found.collect()} == want
     weights = reduction.fuzzy_neighbours(few, found, k=5).collect()
     assert {(r["src"], r["dst"]) for r in weights} == want
+
+
+def test_one_short_segment_is_kept():
+    beats = [20 + 0.125 * i for i in range(64)]
+    assert seconds(features.phrase_chunks(28 * RATE, RATE, beats, False)) == [(20, 8)]
+    assert seconds(features.phrase_chunks(int(20.5 * RATE), RATE, beats, False)) == [(0, 20.5)]
+
+
+def test_manifold_reduction_keeps_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 16)) * 4
+    rows = [(f"t{i:02d}", 120, "C major", centres[i % 3] + rng.normal(size=16) * 0.2) for i in range(45)]
+    songs = library(spark, *rows)
+    got = reduction.umap(songs, components=4, neighbours=5, rounds=12).orderBy("ord").collect()
+    x = np.array([r["embedding"] for r in got])
+    assert [r["filename"] for r in got] == sorted(r[0] for r in rows) and np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-5)
+    cosine = x @ x.T
+    same = np.arange(45)[:, None] % 3 == np.arange(45)[None, :] % 3
+    assert cosine[same].mean() > cosine[~same].mean() + 0.5
+    a, b = reduction.curve(0.1)
+    assert (a, b) == (pytest.approx(1.577, abs=0.01), pytest.approx(0.895, abs=0.01))
+    with pytest.raises(ValueError, match="no tracks"):
+        reduction.umap(songs.limit(0))

@@ -61,3 +61,18 @@ def test_errors(spark, graph):
         setlist.generate(songs, e, 600.0, set_key="C major", starting_key="D major")
     with pytest.raises(filters.NotFound):
         setlist.generate(songs, e, 600.0, starting_song=99_999)
+
+
+def test_segments_keep_both_keys_and_reach_their_minute(spark, graph):
+    songs, e = graph
+    walks = setlist.Walks(songs, e, set_key="C major", seed=3, attempts=6)
+    assert walks.pool("C major").count() == songs.where("key = 'C major'").count() and walks.pool("G major").count() == 0
+    free = setlist.Walks(songs, e, seed=3, attempts=6)
+    found = free.segment(3, None, 900.0)
+    assert free.seconds([3, *found]) >= 900.0
+
+
+def test_waypoints_as_asked_for():
+    assert setlist.waypoint(4, {"minute": 0, "segment_key": ""}) == setlist.Waypoint(4)
+    assert setlist.waypoint(4, {"minute": 12, "position_mode": "next"}) == setlist.Waypoint(4)
+    assert setlist.waypoint(4, {"minute": 12, "position_mode": "timed", "segment_key": "A minor"}) == setlist.Waypoint(4, 12, "A minor")

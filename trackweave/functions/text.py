@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackweave import constants as C
+
 
 def canonical_path(path: Column) -> Column:
     """Forward slashes, ``/mnt/<drive>/`` as ``<DRIVE>:/``, no slash at the end."""
@@ -64,6 +66,14 @@ def setlist_summary(tracks: Column, seconds: Column) -> Column:
     return F.concat(count_of(tracks, "track"), F.lit(" · ~"), minutes, F.lit(" min"))
 
 
+def header_stats(tracks: Column, counts: Column, edges: Column) -> Column:
+    """``n tracks | a direct + b double transitions (m total)``; ``counts`` maps edge types."""
+    named = F.array_compact(F.array(*[F.when(F.coalesce(F.try_element_at(counts, F.lit(t)), F.lit(0)) > 0, F.concat(F.try_element_at(counts, F.lit(t)).cast("string"), F.lit(f" {t}"))) for t in C.EDGE_TYPES]))
+    total = edges.cast("string")
+    by_type = F.concat(F.array_join(named, " + "), F.lit(" transitions ("), total, F.lit(" total)"))
+    return F.concat(tracks.cast("string"), F.lit(" tracks | "), F.when(F.size(named) > 0, by_type).otherwise(F.concat(total, F.lit(" transitions"))))
+
+
 def safe_name(name: Column) -> Column:
     """Letters, digits, space, ``_`` and ``-``; anything else ``_``; never empty."""
     out = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N} _-]", "_"))

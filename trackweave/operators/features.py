@@ -21,8 +21,7 @@ def fixed_stride(start: int, n: int, rate: int) -> list[tuple[int, int]]:
 
 
 def merge_undersized(segments: list[tuple[int, int]], rate: int) -> list[tuple[int, int]]:
-    """Neighbours joined until each has 12 seconds; a short tail joins the one before, or is
-    kept where it is all there is and has a second."""
+    """Neighbours joined until each has 12 seconds; a short tail joins the one before."""
     least = int(C.CHUNK_MIN * rate)
     out: list[list[int]] = []
     held: list[int] | None = None
@@ -33,8 +32,6 @@ def merge_undersized(segments: list[tuple[int, int]], rate: int) -> list[tuple[i
             held = None
     if held and out:
         out[-1][1] += held[1]
-    elif held and held[1] >= int(C.CHUNK_VALID * rate):
-        out.append(held)
     return [tuple(p) for p in out]
 
 
@@ -62,7 +59,12 @@ def phrase_chunks(n: int, rate: int, beats: list[float], rhythmic_intro: bool) -
             segments = [(0, bounds[0]), *segments]
         else:
             segments = [(0, segments[0][0] + segments[0][1]), *segments[1:]]
-    merged = merge_undersized([s for s in segments if s[1] > 0], rate) or [(0, n)]
+    segments = [s for s in segments if s[1] > 0]
+    merged = merge_undersized(segments, rate)
+    if not merged:
+        # under 12 seconds in all: one chunk, or the whole track where that has not a second
+        held = sum(k for _, k in segments)
+        merged = [(segments[0][0], held)] if held >= int(C.CHUNK_VALID * rate) else [(0, n)]
     return split_oversized(merged, rate)
 
 

@@ -24,6 +24,13 @@ class Waypoint:
     segment_key: str | None = None
 
 
+def waypoint(song: int, asked: dict) -> Waypoint:
+    """A waypoint as it is asked for; a minute counts only where the place is timed and the
+    minute not 0, and an empty key is none."""
+    timed = asked.get("position_mode", "timed") == "timed"
+    return Waypoint(song, (asked.get("minute") or None) if timed else None, asked.get("segment_key") or None)
+
+
 class NoSetlist(ValueError):
     """No track meets the constraints."""
 

@@ -172,6 +172,12 @@ def graph_stats(spark, sf_dir):
     return library.stats(songs, edges.build(songs))
 
 
+@query(O.with_edges("select concat(cast((select count(*) from tracks) as varchar), ' tracks | ', (select string_agg(concat(cast(n as varchar), ' ', edge_type), ' + ' order by edge_type) from (select edge_type, count(*) as n from edges group by 1)), ' transitions (', cast(count(*) as varchar), ' total)') as header from edges"))
+def header_stats(spark, sf_dir):
+    songs = fixtures.tracks(spark, sf_dir)
+    return library.header(songs, edges.build(songs))
+
+
 _VISIBLE = f"(select ord from tracks where {O.RELATIVE} = '.' or {O.RELATIVE} = 'genre1' or {O.RELATIVE} like 'genre1/%' or {O.RELATIVE} = 'genre2')"
 
 
@@ -504,6 +510,12 @@ def snapshot_roundtrip(spark, sf_dir):
     return snapshot.load(spark, root)["songs"].select("ord", "file_path", "bpm", "key", "duration_sec", F.size("embedding").alias("dims"))
 
 
+@query()
+def umap_reduce(spark, sf_dir):
+    reduced = reduction.umap(fixtures.tracks(spark, sf_dir), 8)
+    return reduced.select("ord", "filename", F.size("embedding").alias("dims"), F.round(music.norm(F.col("embedding")), 4).alias("length"))
+
+
 @query()
 def pca_reduce(spark, sf_dir):
     reduced = reduction.pca(fixtures.tracks(spark, sf_dir), 16)
