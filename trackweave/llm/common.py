@@ -28,14 +28,6 @@ def decoded(column: pa.Array) -> list[str]:
     return [(t.as_py() or b"").decode("utf-8", "replace") for t in column.cast(pa.binary())]
 
 
-def named_apart(columns: list[str], name: str) -> str:
-    """``name``, lengthened until no column has it, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 #: Tiles of one place that are sent to others together.
 PACK = 8
 #: Groups that are broadcast at most, in a table of a few numbers each.
