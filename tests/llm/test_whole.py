@@ -348,3 +348,15 @@ def test_bytes_that_are_no_text(spark):
     scored = [line_dedup.drop_lines(table), simhash.near_duplicates(table), simhash.keep_one(table), packing.pack(table), mixing.mix(table), mixing.repeat(table), sharding.shard_by_bytes(table), langid.identify(table), quality.score_quality(table, labels), toxicity.score_toxicity(table, labels), toxicity.drop_toxic(table, labels)]
     for got in scored:
         assert got.select("doc_id").distinct().count() == 3 or got.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for view in ("documents", "embeddings"):
+        con.execute(f"create view {view} as select * from '/root/testdata/sf0.01/{view}.parquet'")
+    got, want = queries.queries()[name](spark, "/root/testdata/sf0.01").toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    plain = lambda frame: sorted(map(str, frame[sorted(frame.columns)].itertuples(index=False, name=None)))
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
