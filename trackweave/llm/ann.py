@@ -15,9 +15,8 @@ from trackweave.llm.vectors import children, distinct, lengths, matrix, scaled,
 
 #: Codebooks, entries of each, paths the encoder keeps, vectors they are trained on.
 BOOKS, ENTRIES, BEAM, TRAIN = 8, 256, 4, 8192
-#: Vectors in a block of the index, queries in a block, codes that each pair of blocks puts
-#: forward for a query, and candidates of a query that are ranked exactly at least.
-BLOCK, QUERIES, SEEDS, RERANK = 4096, 1024, 64, 256
+#: Vectors in a block of the index, queries in a block, candidates ranked exactly in each pair of blocks at least.
+BLOCK, QUERIES, RERANK = 4096, 1024, 256
 #: Standard deviations that an estimate may be below what is expected.
 DEVIATIONS = 3.0
 ROUNDS = 8
@@ -78,9 +77,8 @@ def build(vectors: DataFrame, dims: int, k: int = 5) -> tuple[DataFrame, np.ndar
     Codebooks are trained on at most about ``TRAIN`` vectors of least hash; every
     vector is encoded.  Exact copies share one entry that names their ``k + 1``
     smallest ids: no other copy can be among the ``k`` nearest of any query.  One
-    row of the index is a block of entries, a column each for their codes, norms and the
-    cosine of what a code stands for with the vector, which searches read whole, and for
-    their ids and vectors, which they look up.
+    row of the index is a block of entries: ids, vectors, codes, the norms of what the codes
+    stand for, and its cosine with the vector.
     """
     spark = vectors.sparkSession
     store = scratch(spark)
@@ -104,23 +102,21 @@ def build(vectors: DataFrame, dims: int, k: int = 5) -> tuple[DataFrame, np.ndar
     blocks = max(1, -(-n // BLOCK))
     dealt = rows.select("ids", "vector", F.pmod("order", F.lit(blocks)).cast("int").alias("block"))
     encoded = dealt.mapInArrow(codes, T.StructType([*dealt.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("norm", T.DoubleType()), T.StructField("close", T.DoubleType())]))
-    index = encoded.groupBy("block").agg(F.collect_list(F.struct("ids", "vector", "code", "norm", "close")).alias("e"))
-    return store.write(index.select("block", "e.ids", "e.vector", "e.code", "e.norm", "e.close"), "index"), books
+    index = encoded.groupBy("block").agg(F.collect_list(F.struct("ids", "vector", "code", "norm", "close")).alias("entries"))
+    return store.write(index, "index"), books
 
 
 def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` of ``vectors`` nearest to each of ``queries`` by cosine.
 
-    Each block of queries meets the codes of each block of the index.  A table of inner
+    Each block of queries meets each block of the index once.  A table of inner
     products of the query with all entries scores every code; over the stored norm
-    that estimates the cosine.  The best ``RERANK`` of those that the blocks put forward
-    are ranked by exact cosine in double precision on the original vectors, which gives the
-    query a k-th.  A code whose cosine with its vector is c, and the vector's with the query
-    t, is estimated at about c t, give or take the part of the code that lies across; in a
-    second pass every code is ranked exactly whose estimate is no more than ``DEVIATIONS``
-    standard deviations below what a vector as near as the k-th would get.  Ties go to the
-    smaller id; a query's own id is no candidate of it.  Original vectors move for candidates
-    alone.
+    that estimates the cosine.  The best ``RERANK`` are ranked by exact cosine in
+    double precision on the original vectors, which gives a k-th.  A code whose cosine with
+    its vector is c, and the vector's with the query t, is estimated at about c t, give or
+    take the part of the code that lies across; every other code is ranked exactly too whose
+    estimate is no more than ``DEVIATIONS`` standard deviations below what a vector as near
+    as the k-th would get.  Ties go to the smaller id; a query's own id is no candidate of it.
 
     Queries meet vectors of their own number of dimensions alone.  Vectors that are null,
     zero, or hold null or non-finite components are neither queries nor candidates; tiny and
@@ -143,72 +139,55 @@ def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vecto
 
 
 def _search(asked: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of all candidates ranked exactly."""
+    """(query_id, vec_id, score): of each block of the index the ``k`` nearest."""
     spark = vectors.sparkSession
     store = scratch(spark)
     index, books = build(vectors, dims, k)
     parts = max(1, -(-asked.count() // QUERIES))
-    blocks = index.agg(F.max("block")).first()[0]
+    packed = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
+    blocks = index.select(F.max("block")).first()[0]
+    everywhere = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks if blocks is not None else 0))))
+    pairs = everywhere.join(index, "block").select("asked", "entries")
     shared = spark.sparkContext.broadcast(books.astype(np.float32))
 
-    def scan(asked: DataFrame, most: int) -> DataFrame:
-        """(query_id, entry, guess) of at most ``most`` codes a query and block, or of all
-        (0) that may be as near as the query's ``bound``."""
-        packed = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "vector", "bound")).alias("asked"))
-        everywhere = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks if blocks is not None else 0))))
-        pairs = everywhere.join(index.select("block", "code", "norm", "close"), "block").select("asked", "block", "code", "norm", "close")
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    found = _scores(batch.column(0)[i].values, batch.column(2)[i].values, batch.column(3)[i].values, batch.column(4)[i].values, shared.value, dims, most)
-                    entry = found[1] + (batch.column(1)[i].as_py() << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(entry), pa.array(found[2])], ["query_id", "entry", "guess"])
-
-        with small_batches(spark, 4):
-            return store.write(pairs.mapInArrow(look, "query_id long, entry long, guess double"), "scanned")
-
-    entries = index.select((F.col("block").cast("long") * (1 << 32)).alias("base"), F.posexplode(F.arrays_zip("ids", "vector")).alias("at", "e"))
-    entries = entries.select((F.col("base") + F.col("at")).alias("of"), "e.ids", F.col("e.vector").alias("x"))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, q = matrix(batch.column("x"), dims), matrix(batch.column("q"), dims)
-            score = np.einsum("ij,ij->i", x, q) / (lengths(x) * lengths(q))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(score)], ["query_id", "ids", "score"])
-
-    def judge(candidates: DataFrame) -> DataFrame:
-        met = candidates.join(entries, F.col("entry") == F.col("of")).join(asked.select(F.col("id").alias("query"), F.col("vector").alias("q")), F.col("query_id") == F.col("query"))
-        return store.write(met.select("query_id", "ids", "x", "q").mapInArrow(exact, "query_id long, ids array<long>, score double"), "judged")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "entry")
-    seeds = scan(asked.withColumn("bound", F.lit(-2.0)), SEEDS).withColumn("n", F.row_number().over(best)).where(F.col("n") <= RERANK).drop("n")
-    seeds = store.write(seeds, "seeds")
-    first = judge(seeds)
-    known = first.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    bounded = asked.join(known.select("id", F.element_at("scores", F.least(F.size("scores"), F.lit(k + 1))).alias("bound")), "id")
-    more = scan(bounded, 0).join(seeds.select("query_id", "entry"), ["query_id", "entry"], "left_anti")
-    found = first.unionByName(judge(more))
-    return found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-
-
-def _scores(asked: pa.StructArray, codes: pa.Array, norms: pa.Array, closes: pa.Array, books: np.ndarray, dims: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, place in the block, estimate) of the codes that a block puts forward."""
-    by = children(asked)
-    ids, bounds = by["id"].to_numpy(zero_copy_only=False), by["bound"].to_numpy(zero_copy_only=False)
-    q = matrix(by["vector"], dims)
-    tables = np.einsum("qd,med->qme", (q / lengths(q)[:, None]).astype(np.float32), books)
-    code = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1).T.astype(np.intp)
-    size = np.maximum(norms.to_numpy(zero_copy_only=False), 1e-12)
-    close = closes.to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int, float]] = []
+            for i in range(batch.num_rows):
+                out += _search_block(batch.column(0)[i].values, batch.column(1)[i].values, shared.value, dims, k)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    with small_batches(spark, 4):
+        return store.write(pairs.mapInArrow(look, "query_id long, vec_id long, score double"), "found")
+
+
+def _search_block(asked: pa.StructArray, entries: pa.StructArray, books: np.ndarray, dims: int, k: int) -> list[tuple[int, int, float]]:
+    """The nearest ``k`` in one block of the index, for each query of one block."""
+    asked_by, entry = children(asked), children(entries)
+    ids = asked_by["id"].to_numpy(zero_copy_only=False)
+    q = matrix(asked_by["vector"], dims)
+    unit = q / lengths(q)[:, None]
+    x = matrix(entry["vector"], dims)
+    size = lengths(x)
+    codes = np.frombuffer(b"".join(entry["code"].to_pylist()), np.uint8).reshape(len(x), -1).T.astype(np.intp)
+    norms = np.maximum(entry["norm"].to_numpy(zero_copy_only=False), 1e-12)
+    close = entry["close"].to_numpy(zero_copy_only=False)
     across = np.sqrt(np.maximum(1 - close**2, 0) / max(1, dims - 1))
+    members = entry["ids"].to_pylist()
+    tables = np.einsum("qd,med->qme", unit.astype(np.float32), books)
+    q_size = lengths(q)
     out = []
-    for i in range(len(ids)):
-        guess = sum(tables[i, m][code[m]] for m in range(len(code))) / size
-        if most:
-            top = np.argpartition(-guess, most - 1)[:most] if len(guess) > most else np.arange(len(guess))
-        else:
-            slack = DEVIATIONS * across * np.sqrt(max(0.0, 1 - bounds[i] ** 2)) + 1e-6
-            top = np.flatnonzero(guess >= close * bounds[i] - slack)
-        out.append((np.full(len(top), ids[i]), top.astype(np.int64), guess[top].astype(np.float64)))
-    return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
+    for i, own in enumerate(ids.tolist()):
+        guess = sum(tables[i, m][codes[m]] for m in range(len(codes))) / norms
+        top = np.argpartition(-guess, min(RERANK, len(x)) - 1)[:RERANK] if len(x) > RERANK else np.arange(len(x))
+        exact = (x[top] @ q[i]) / (size[top] * q_size[i])
+        if len(top) < len(x):
+            least = np.sort(exact)[-min(len(exact), k + 1)]
+            near = guess >= close * least - DEVIATIONS * across * np.sqrt(max(0.0, 1 - least**2)) - 1e-6
+            near[top] = False
+            if len(more := np.flatnonzero(near)):
+                top, exact = np.concatenate([top, more]), np.concatenate([exact, (x[more] @ q[i]) / (size[more] * q_size[i])])
+        keep = np.flatnonzero(exact >= np.sort(exact)[-min(len(exact), k + 1)])
+        best = sorted((-float(exact[j]), v) for j in keep.tolist() for v in members[top[j]] if v != own)
+        out += [(own, v, -s) for s, v in best[:k]]
+    return out
