@@ -135,10 +135,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         "keyed",
     )
     edges = splitters(keyed, n_shards, slack, fine)
-    ranges = max(8 * n_shards, -(-keyed.count() // (GROUP_ROWS // 4)))
+    rows = keyed.count()
+    ranges = max(8 * n_shards, -(-rows // (GROUP_ROWS // 4)))
     bits = min(48, (ranges - 1).bit_length())
     placed = keyed.withColumns({"shard": _place(edges), "part": F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.lit(-TOP)), HALF - bits)})
-    placed = spread(placed, ["shard", "part"], F.col("k2"), GROUP_ROWS).drop("subs")
+    placed = spread(placed, ["shard", "part"], F.col("k2"), max(1024, 2 * rows // ranges)).drop("subs")
     before = Window.partitionBy("shard").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part", "sub").count().select("shard", "part", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "part", "sub").orderBy("k1", "k2", "id")
