@@ -238,21 +238,27 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
     state = store.write(state, "state")
     first = Window.partitionBy("of").orderBy("order")
+    top = F.lit(float((1 << 63) - (1 << 11)))
     take = lambda s, c: F.struct(
         F.when(c["size"] <= s["left"], s["left"] - c["size"]).otherwise(s["left"]).alias("left"),
         F.when(c["size"] <= s["left"], F.array_append(s["later"], c["order"])).otherwise(s["later"]).alias("later"),
     )
     while True:
         met = rest.join(near(state), F.col("source").eqNullSafe(F.col("of"))).where((F.col("order") > F.col("behind")) & (F.col("size") <= F.col("left")))
+        # orders are hashes, so this share of what follows holds about four times as many as are tried
+        counted = met.groupBy(F.col("of").alias("at"), "behind").agg(F.count("*").alias("n"))
+        reach = F.col("behind") + F.floor((top - F.col("behind")) * F.least(F.lit(1.0), F.lit(4.0 * LATER) / F.col("n")))
+        reach = store.write(counted.select("at", F.when(F.col("n") > 4 * LATER, reach).otherwise(F.lit((1 << 63) - 1)).cast("long").alias("reach")), "reach")
+        if reach.isEmpty():
+            break
+        met = met.join(near(reach), F.col("of").eqNullSafe(F.col("at"))).where(F.col("order") <= F.col("reach"))
         groups = met.groupBy("of", "order", "left").agg(F.sum("size").alias("size")).where("size <= left")
         some = groups.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LATER).groupBy("of", "left").agg(F.array_sort(F.collect_list(F.struct("order", "size"))).alias("c"))
         folded = F.aggregate("c", F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("later")), take)
         found = store.write(some.select(F.col("of").alias("in"), folded.alias("f"), F.when(F.size("c") == LATER, F.element_at("c", -1)["order"]).alias("upto")), "later")
-        if found.isEmpty():
-            break
         state = store.write(
-            state.join(found, F.col("of").eqNullSafe(F.col("in")), "left").select(
-                "of", "cut", F.coalesce("f.left", "left").alias("left"), F.col("upto").alias("behind"), F.concat("later", F.coalesce("f.later", F.array().cast("array<bigint>"))).alias("later"),
+            state.join(found, F.col("of").eqNullSafe(F.col("in")), "left").join(reach, F.col("of").eqNullSafe(F.col("at")), "left").select(
+                "of", "cut", F.coalesce("f.left", "left").alias("left"), F.coalesce("upto", "reach").alias("behind"), F.concat("later", F.coalesce("f.later", F.array().cast("array<bigint>"))).alias("later"),
             ),
             "state",
         )
