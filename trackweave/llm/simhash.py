@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm.common import BROADCAST, connected_components, decoded, id_field, scratch, spread, tile_pairs
+from trackweave.llm.tokens import mixed
 from trackweave.llm.vectors import small_batches
 
 #: Fingerprints in one tile, about.
@@ -61,13 +62,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A further 64 bits of each hash (the finaliser of splitmix64, at step ``k``)."""
-    with np.errstate(over="ignore"):
-        z = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+#: Steps of the hashes that wide fingerprints and tile names are made of.
+_STEPS = np.arange(1, WIDE + TABLES * MARKS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """Further 64 bits of each hash, a row for each of the ``_STEPS``."""
+    return mixed(hashes[None, :] + _STEPS)
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -80,14 +81,19 @@ def set_name(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """256-bit SimHash of a set of shingles, and the names of its tiles: in each table the
     ``MARKS`` shingles that come first in that table's order."""
-    words = [majority(_remix(hashes, k)) for k in range(1, WIDE + 1)]
-    if not len(hashes):
-        return words, [0] * TABLES
-    first = [int(_remix(hashes, WIDE + 1 + k).min()) for k in range(TABLES * MARKS)]
-    return words, [xxhash.xxh64_intdigest(np.array(first[t * MARKS : (t + 1) * MARKS], "<u8").tobytes(), t) - (1 << 63) for t in range(TABLES)]
+    counts = np.zeros((WIDE, 64), np.int64)
+    first = np.full(TABLES * MARKS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), BLOCK // 16):
+        part = _remixed(hashes[at : at + BLOCK // 16])
+        bits = np.unpackbits(part[:WIDE].astype("<u8").view(np.uint8).reshape(WIDE, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.int64)
+        first = np.minimum(first, part[WIDE:].min(axis=1))
+    words = np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+    table = mixed(mixed(first[0::MARKS]) + sum(first[k::MARKS] * np.uint64(2 * k + 1) for k in range(1, MARKS)))
+    return words, table.view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
