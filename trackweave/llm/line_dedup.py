@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.llm.common import BROADCAST, decoded, scratch, spread
-from trackweave.llm.tokens import line_name, mixed, tokenised
+from trackweave.llm.tokens import mixed, tokenised
 from trackweave.llm.vectors import small_batches
 
 #: Leading tokens on the path to a leaf, and share of equal tokens that joins a template.
@@ -97,44 +97,46 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, T.StructType(fields))
 
 
-def shared(keyed: DataFrame, lines: DataFrame, repeated: bool = True) -> DataFrame:
+def shared(keyed: DataFrame, lines: DataFrame, plain: bool, repeated: bool) -> DataFrame:
     """``(key, template, docs, keeper)`` of every line whose template several documents
     hold; ``keeper`` is the one with the smallest id.
 
     Equal lines are counted before any shuffle.  A leaf with several different lines
     is parsed as one row of about ``LEAF_LINES`` of them and ``LEAF_TOKENS`` token hashes;
     a fuller leaf as several, dealt by hash, whose templates are merged by the same rule.
-    ``repeated`` says whether rows may be alike in id and text.
+    ``plain`` says whether documents are named by their ids, so that the smallest name is that
+    of the smallest id, and ``repeated`` whether rows are alike in id and text.
     """
     store = scratch(keyed.sparkSession)
     keys = lines.groupBy("key", "leaf", "tokens").agg(
-        F.sum("fresh").alias("docs"), F.min(F.struct("id", "doc")).alias("first"), F.min(F.struct("doc", "line")).alias("sample")
+        F.sum("fresh").alias("docs"), F.min("doc" if plain else F.struct("id", "doc")).alias("first")
     )
+    of_first = F.col("first") if plain else F.col("first.doc")
     keys = store.write(keys, "keys")
     leaves = keys.groupBy("leaf").agg(F.count("*").alias("n_leaf")).where("n_leaf > 1")
     blocks = F.ceil(F.col("n_leaf") / F.least(F.lit(LEAF_LINES), F.greatest(F.lit(1), F.floor(F.lit(LEAF_TOKENS) / F.col("tokens")))))
     several = (
         keys.join(leaves, "leaf").withColumn("blocks", blocks)
         .withColumn("node", F.when(F.col("blocks") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", F.pmod(F.xxhash64("key"), "blocks"))))
-        .select("key", "node", F.when(F.col("blocks") > 1, F.col("leaf")).alias("merge"), F.col("sample.doc").alias("doc"), F.col("sample.line").alias("line"))
+        .select("key", "node", F.when(F.col("blocks") > 1, F.col("leaf")).alias("merge"), of_first.alias("doc"))
     )
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("line", "key", "node", "merge")).alias("wanted"))
+    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("key", "node", "merge")).alias("wanted"))
     texts = keyed.select("doc", "raw").join(wanted, "doc")
     texts = texts.dropDuplicates(["doc"]) if repeated else texts
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("wanted")
-            line, key, node, merge = lists.flatten().flatten()
-            want = line_name(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), line.to_numpy())
-            order = np.argsort(want)
+            key, node, merge = lists.flatten().flatten()
+            want = _apart(key.to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
             at, rows = [], []
             for part in tokenised(decoded(batch.column("raw"))):
-                there = part.names()
-                place = np.searchsorted(there, want[order])
-                hit = (place < len(there)) & (there[np.minimum(place, len(there) - 1)] == want[order]) if len(there) else np.zeros(len(order), bool)
-                at.append(order[hit])
-                rows += [part.row(i) for i in place[hit].tolist()]
+                there, line = np.unique(_apart(part.paths(DEPTH)[0], part.text), return_index=True)
+                if len(there):
+                    place = np.minimum(np.searchsorted(there, want), len(there) - 1)
+                    hit = np.flatnonzero(there[place] == want)
+                    at.append(hit)
+                    rows += [part.row(i) for i in line[place[hit]].tolist()]
             at = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([key.take(at), node.take(at), merge.take(at), pa.array(rows, pa.list_(pa.int32()))], ["key", "node", "merge", "line"])
 
@@ -176,7 +178,7 @@ def shared(keyed: DataFrame, lines: DataFrame, repeated: bool = True) -> DataFra
     named = keys.join(parsed, F.col("key") == F.col("of"), "left").withColumn("template", F.coalesce("template", "key"))
     named = store.write(named.select("key", "template", "tokens", "docs", "first"), "named")
     held = named.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= UNLIKE)
-    return store.write(named.select("key", "template").join(held, "template").select("key", "template", "docs", F.col("first.doc").alias("keeper")), "shared")
+    return store.write(named.select("key", "template").join(held, "template").select("key", "template", "docs", of_first.alias("keeper")), "shared")
 
 
 def _own_text(marked: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
@@ -187,8 +189,9 @@ def _own_text(marked: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     documents as the least held of them.  So neither what the two share nor what many
     others hold tells them alike.  ``size`` counts the document's tokens.
     """
+    collect = F.collect_set if repeated else F.collect_list
     lines = marked.groupBy("doc").agg(
-        F.collect_set(F.struct("line", "docs", "keeper")).alias("lines"), F.max((F.col("keeper") != F.col("doc")).cast("int")).alias("other"),
+        collect(F.struct("line", "docs", "keeper")).alias("lines"), F.max((F.col("keeper") != F.col("doc")).cast("int")).alias("other"),
     ).where("other = 1").select("doc", "lines")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +207,16 @@ def _own_text(marked: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
                     least[text][line] = hashes[at:end]
                     at = end
             rows = []
-            for n, (doc, marks) in enumerate(zip(docs, batch.column("lines").to_pylist())):
+            lists = batch.column("lines")
+            marked_lines = list(zip(*(c.to_pylist() for c in lists.flatten().flatten())))
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
+            for n, (doc, begin, end) in enumerate(zip(docs, [0, *ends], ends)):
+                marks = marked_lines[begin:end]
                 known: dict[tuple, list[int]] = {}
-                for keeper in {m["keeper"] for m in marks} - {None, doc}:
-                    rest = [m for m in marks if m["keeper"] != keeper]
-                    rarest = min((m["docs"] for m in rest), default=0)
-                    own = tuple(sorted(m["line"] for m in rest if m["docs"] <= 2 * rarest))
+                for keeper in {k for _, _, k in marks} - {None, doc}:
+                    rest = [(line, often) for line, often, k in marks if k != keeper]
+                    rarest = min((often for _, often in rest), default=0)
+                    own = tuple(sorted(line for line, often in rest if often <= 2 * rarest))
                     if own not in known:
                         known[own] = sorted(set().union(*(least[n][line] for line in own)))[:PAIRS]
                     rows.append((doc, keeper, known[own], size[n]))
@@ -253,7 +260,7 @@ def _copies(own: DataFrame, texts: DataFrame) -> DataFrame:
         return scratch(texts.sparkSession).write(rows.mapInArrow(each, "keeper long, own array<long>, size long").distinct(), "copies")
 
 
-def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+def recurring(keyed: DataFrame, lines: DataFrame, plain: bool = False) -> DataFrame:
     """``(doc, line)`` of every line to drop: its template recurs, and its document is no
     copy of the keeper.
 
@@ -261,8 +268,8 @@ def recurring(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     with equal own text are compared once.
     """
     store = scratch(keyed.sparkSession)
-    repeated = not lines.where("lines > 0").groupBy("doc").count().where("count > 1").isEmpty()
-    several = shared(keyed, lines, repeated)
+    repeated = not plain and not lines.where("lines > 0").groupBy("doc").count().where("count > 1").isEmpty()
+    several = shared(keyed, lines, plain, repeated)
     texts = keyed.where("raw is not null").select("doc", "raw")
     marked = lines.join(several.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
     marked = store.write(marked.select("doc", "line", "tokens", "template", "keeper", F.coalesce("docs", F.lit(1)).alias("docs")), "marked")
@@ -303,12 +310,16 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     store = scratch(docs.sparkSession)
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).cast("binary").alias("raw"))
+    # whole numbers that differ name documents by themselves, others do so with their text
+    plain = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    plain = plain and docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null").isEmpty()
+    doc = F.col(id_col).cast("long") if plain else F.xxhash64(id_col, text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.col(text_col).cast("binary").alias("raw"))
     lines = store.write(_lines(keyed), "lines")
-    drops = recurring(keyed, lines).groupBy("doc").agg(F.collect_set("line").alias("drop"))
+    drops = recurring(keyed, lines, plain).groupBy("doc").agg(F.collect_set("line").alias("drop"))
     count = lines.where("lines > 0").select("doc", "lines").distinct()
     drops = store.write(count.join(drops, "doc", "left").withColumnRenamed("doc", "of"), "drops")
-    parts = docs.select(F.struct(*[c for c in columns if c != text_col], F.lit(0).alias("0")).alias("row"), F.xxhash64(id_col, text_col).alias("doc"), F.split(text_col, "\n").alias("parts"))
+    parts = docs.select(F.struct(*[c for c in columns if c != text_col], F.lit(0).alias("0")).alias("row"), doc.alias("doc"), F.split(text_col, "\n").alias("parts"))
     joined = parts.join(drops, F.col("doc") == F.col("of"), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drop"))
     text = F.array_join(F.when(F.col("drop").isNull(), F.col("parts")).otherwise(F.transform(stay, lambda i: F.get(F.col("parts"), i))), "\n")

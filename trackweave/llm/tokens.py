@@ -130,7 +130,9 @@ class Tokens:
     def least_pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(ends, hashes): of each line the ``most`` least hashes of its different pairs, in order."""
         which, hashed = self.pairs()
-        order = np.lexsort((hashed, which))
+        # one sort of lines and the leading bits of hashes; a line's equal hashes come together
+        lead = (hashed.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(24)
+        order = np.argsort((which.astype(np.uint64) << np.uint64(40)) | lead)
         which, hashed = which[order], hashed[order]
         fresh = np.ones(len(which), bool)
         fresh[1:] = (which[1:] != which[:-1]) | (hashed[1:] != hashed[:-1])
@@ -140,10 +142,6 @@ class Tokens:
         few = place < most
         return np.cumsum(np.minimum(count, most)), hashed[few]
 
-    def names(self) -> np.ndarray:
-        """Each line's text and number as one number."""
-        return line_name(self.text, self.line)
-
     def row(self, which: int) -> np.ndarray:
         """A line's tokens as 32-bit hashes, none of them 0."""
         part = (self.hashes[self.first[which] : self.first[which] + self.count[which]] >> np.uint64(32)).astype(np.uint32)
@@ -151,10 +149,6 @@ class Tokens:
         return part.view(np.int32)
 
 
-def line_name(text: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (np.asarray(text, np.int64) << 40) + np.asarray(line, np.int64)
-
-
 def tokenised(texts: list[str]) -> Iterator[Tokens]:
     """Tokens of all the texts, in groups that bound memory."""
     return map(Tokens, pieces(texts))
