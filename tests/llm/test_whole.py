@@ -266,10 +266,10 @@ def test_nearest_labelled_texts_equal_brute_force(spark):
     ids = [r["id"] for r in rows]
     vectors = [model.vocabulary.vector(bytes(r["text"]).decode()) for r in rows]
     dense = np.zeros((len(rows), len(model.vocabulary.idf)))
-    for i, (t, w) in enumerate(vectors):
+    for i, (t, w, _, _) in enumerate(vectors):
         dense[i, t] = w
     for r in queries.op10_toxicity(spark, path).join(texts, "doc_id").collect():
-        t, w = model.vocabulary.vector(r["text"] or "")
+        t, w, _, _ = model.vocabulary.vector(r["text"] or "")
         cosines = dense[:, t] @ w if len(t) else np.zeros(len(rows))
         want = np.sort(cosines[cosines > 0])[::-1][: toxicity.NEIGHBOURS]
         assert r["cosines"] == pytest.approx(want.tolist(), abs=1e-9)

@@ -49,8 +49,8 @@ class Vocabulary:
         self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("-")}
         self.starts = {s[: STEMS[0]] for s in self.stems}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights."""
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """Terms, unit weights, their length before scaling, and the number of words."""
         tokens = _WORD.findall(text.lower())
         first, starts, words = STEMS[0], self.starts, self.words
         hits = [w for w in tokens if w in words or w[:first] in starts]
@@ -66,7 +66,7 @@ class Vocabulary:
         terms = np.array(sorted(counts), np.int64)
         weights = np.array([(1 + math.log(counts[i])) * self.idf[i] for i in terms.tolist()])
         norm = float(np.sqrt(weights @ weights)) if len(terms) else 0.0
-        return terms, weights / norm if norm else weights
+        return terms, weights / norm if norm else weights, norm, len(tokens)
 
 
 def choose_terms(texts: list[str], label: np.ndarray) -> Vocabulary:
@@ -160,16 +160,19 @@ class Model:
         self.searched: dict = {}
 
     def evidence(self, vector: tuple, leave_out: int = -1) -> tuple[np.ndarray | None, list[tuple[float, int]]]:
-        """What the score is calibrated on, and the neighbours found: the share of toxic
-        votes, each counted by its squared cosine, one clean vote of 0.1 among them, and
-        the cosine of the nearest."""
-        terms, weights = vector
+        """What the score is calibrated on, and the neighbours found.
+
+        Votes count by squared cosine, one clean vote of 0.1 among them; the cosine of the
+        nearest, how much of the vocabulary the text holds, and its number of words, complete
+        the picture: a toxic word tells less in a long text.
+        """
+        terms, weights, norm, words = vector
         near = self._search(terms, weights, leave_out) if len(terms) else []
         if not near:
             return None, []
         cosines, votes = np.array([s for s, _ in near]), self.toxic[[i for _, i in near]]
         share = float(cosines**2 @ votes) / (float((cosines**2).sum()) + 0.1)
-        return np.array([share, share**2, cosines[0]]), near
+        return np.array([share, share**2, cosines[0], math.log1p(norm), math.log1p(words), len(terms) ** 0.5]), near
 
     def _search(self, terms: np.ndarray, weights: np.ndarray, leave_out: int) -> list[tuple[float, int]]:
         if leave_out >= 0:
@@ -197,7 +200,7 @@ def fit(rows: list, counts: dict) -> Model:
     vocabulary = choose_terms(texts, label)
     vectors = [vocabulary.vector(t) for t in texts]
     held = [i for i, v in enumerate(vectors) if len(v[0])]
-    index = BlockMaxIndex([vectors[i] for i in held], len(vocabulary.idf))
+    index = BlockMaxIndex([vectors[i][:2] for i in held], len(vocabulary.idf))
     drawn = {c: max(1, int((label == c).sum())) for c in counts}
     weight = np.array([counts[int(y)] / drawn[int(y)] for y in label])
     model = Model(vocabulary, index, [rows[i]["id"] for i in held], label[held], None, 0.0)
