@@ -1,6 +1,7 @@
 """SimHash, line templates and vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -250,6 +251,34 @@ def test_vector_tiles(spark, monkeypatch):
 BAD = [None, [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], []]
 
 
+def test_few_copies_of_each_vector_are_sent(spark, monkeypatch):
+    sent = []
+    pairs = vector_dedup.tile_pairs
+
+    def counted(*args):
+        sent.append(pairs(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(vector_dedup, "tile_pairs", counted)
+    x = np.random.default_rng(12).normal(size=(1500, 64))
+    assert vector_dedup.near_vectors(vectors(spark, x)).where("n_links > 0").isEmpty()
+    copies = sent[0].selectExpr("sum(size(one) + size(other))").first()[0]
+    assert copies < 40 * len(x)
+
+
+def test_strips_of_a_tile_count_every_link(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "STRIP", 7)
+    x = clusters(np.random.default_rng(14), 200)
+    x[:60] = x[0] + np.random.default_rng(15).normal(size=(60, 16)) * 0.01
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    like = u @ u.T >= 0.9
+    np.fill_diagonal(like, False)
+    group = components(200, list(zip(*np.nonzero(like))))
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(vectors(spark, x)).collect()}
+    assert [got[i]["n_links"] for i in range(200)] == like.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(200)] == [int(g) for g in group]
+
+
 def test_vectors_that_link_with_nothing(spark):
     rows = vectors(spark, [[1.0, 0.0], [1.0, 0.01], *BAD, [1.0, 0.0]])
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(rows).collect()}

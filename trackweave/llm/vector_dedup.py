@@ -15,7 +15,11 @@ from trackweave.llm.common import connected_components, scratch, spread, tile_pa
 from trackweave.llm.vectors import children, comparable, lengths, matrix, sizes, small_batches, usable
 
 #: Blocks of dimensions, leading dimensions of each that name a cell, vectors in a tile.
-BLOCKS, GRID, TILE = 8, 2, 1024
+#: Every block sends each vector to all that its cell touches, so few blocks and large tiles
+#: keep copies few.
+BLOCKS, GRID, TILE = 2, 2, 4096
+#: Rows of a tile that are compared with the other tile at a time.
+STRIP = 256
 #: Slack against rounding, far above what double precision needs.
 EPSILON = 1e-6
 
@@ -151,22 +155,32 @@ def _link_tiles(block: int, one: pa.StructArray, other: pa.StructArray, same: bo
     # one product of single precision gives all squared distances; those near the budget are judged again in double
     left = np.concatenate([va, (va**2).sum(axis=1, keepdims=True), np.ones((len(va), 1))], axis=1).astype(np.float32)
     right = np.concatenate([-2 * vb, np.ones((len(vb), 1)), (vb**2).sum(axis=1, keepdims=True)], axis=1).astype(np.float32)
-    near = left @ right.T <= np.float32(spaces.budget[block] + SINGLE)
-    if same:
-        near &= np.arange(len(ra))[:, None] < np.arange(len(rb))
-    i, j = np.nonzero(near)
-    keep = np.empty(len(i), bool)
-    for at in range(0, len(i), 1 << 14):
-        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-        ok = np.einsum("ij,ij->i", xa[a], xb[b]) / (la[a] * lb[b]) >= cosine
-        ok &= _within(spaces, ua[a], ub[b], block)
-        for earlier in range(block):
-            some = np.flatnonzero(ok)
-            ok[some] &= ~_within(spaces, ua[a[some]], ub[b[some]], earlier)
-        keep[at : at + (1 << 14)] = ok
-    i, j = i[keep], j[keep]
-    na, nb = np.bincount(i, wb[j], len(ra)).astype(np.int64), np.bincount(j, wa[i], len(rb)).astype(np.int64)
-    edges = _forest(i, j + (0 if same else len(ra)), len(ra) + (0 if same else len(rb)))
+    na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
+    shift, n = (0, len(ra)) if same else (len(ra), len(ra) + len(rb))
+    edges = np.empty((0, 2), np.int64)
+    for top in range(0, len(ra), STRIP):
+        first = top if same else 0
+        near = left[top : top + STRIP] @ right[first:].T <= np.float32(spaces.budget[block] + SINGLE)
+        if not near.any():
+            continue
+        i, j = np.nonzero(near)
+        i, j = i + top, j + first
+        if same:
+            i, j = i[i < j], j[i < j]
+        keep = np.empty(len(i), bool)
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            ok = np.einsum("ij,ij->i", xa[a], xb[b]) / (la[a] * lb[b]) >= cosine
+            ok &= _within(spaces, ua[a], ub[b], block)
+            for earlier in range(block):
+                some = np.flatnonzero(ok)
+                ok[some] &= ~_within(spaces, ua[a[some]], ub[b[some]], earlier)
+            keep[at : at + (1 << 14)] = ok
+        i, j = i[keep], j[keep]
+        na += np.bincount(i, wb[j], len(ra)).astype(np.int64)
+        nb += np.bincount(j, wa[i], len(rb)).astype(np.int64)
+        edges = np.concatenate([edges, np.stack([i, j + shift], 1)])
+        edges = _forest(edges[:, 0], edges[:, 1], n)
     names = ra if same else np.concatenate([ra, rb])
     a = np.concatenate([ra[na > 0], rb[nb > 0], names[edges[:, 0]]])
     b = np.concatenate([ra[na > 0], rb[nb > 0], names[edges[:, 1]]])
