@@ -324,6 +324,29 @@ def test_search_over_many_blocks(spark, monkeypatch):
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])] == [50, 51, 52, 53, 54]
 
 
+def test_search_carries_its_bounds_from_block_to_block():
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(6000, 64)), rng.normal(size=(20, 64))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    books = ann.train(u[:2000])
+    code = ann.encode(u, books)
+    coded = ann.decode(code, books)
+    norm = np.linalg.norm(coded, axis=1)
+    close = (u * coded).sum(axis=1) / norm
+    asked = pa.array([{"id": -1 - i, "vector": v.tolist()} for i, v in enumerate(q)])
+    bounds, found = {}, []
+    for at in range(0, 6000, 2000):
+        entries = pa.array([{"ids": [i], "vector": x[i].tolist(), "code": code[i].tobytes(), "norm": norm[i], "close": close[i]} for i in range(at, at + 2000)])
+        found.append(ann._search_block(asked, entries, books.astype(np.float32), 64, 5, bounds))
+    assert len(found[2][0]) < len(found[0][0]) == 100  # later blocks give what may still be nearest
+    ids, named, scores = (np.concatenate([f[j] for f in found]) for j in range(3))
+    for i, v in enumerate(q):
+        cosines = u @ (v / np.linalg.norm(v))
+        mine = np.flatnonzero(ids == -1 - i)
+        best = mine[np.argsort(-scores[mine])][:5]
+        assert named[best].tolist() == np.argsort(-cosines)[:5].tolist() and np.allclose(scores[best], np.sort(cosines)[-5:][::-1])
+
+
 def test_vector_query_matches_sql(spark):
     import duckdb
 

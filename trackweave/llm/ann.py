@@ -15,8 +15,10 @@ from trackweave.llm.vectors import children, distinct, lengths, matrix, scaled,
 
 #: Codebooks, entries of each, paths the encoder keeps, vectors they are trained on.
 BOOKS, ENTRIES, BEAM, TRAIN = 8, 256, 4, 8192
-#: Vectors in a block of the index, queries in a block, candidates ranked exactly in each pair of blocks at least.
-BLOCK, QUERIES, RERANK = 4096, 1024, 256
+#: Vectors in a block of the index, queries in a block, candidates ranked exactly for a first bound.
+BLOCK, QUERIES, RERANK = 4096, 1024, 32
+#: Queries whose estimates are made at a time.
+STRIP = 256
 #: Standard deviations that an estimate may be below what is expected.
 DEVIATIONS = 3.0
 ROUNDS = 8
@@ -109,12 +111,13 @@ def build(vectors: DataFrame, dims: int, k: int = 5) -> tuple[DataFrame, np.ndar
 def search(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` of ``vectors`` nearest to each of ``queries`` by cosine.
 
-    Each block of queries meets each block of the index once.  A table of inner
-    products of the query with all entries scores every code; over the stored norm
-    that estimates the cosine.  The best ``RERANK`` are ranked by exact cosine in
-    double precision on the original vectors, which gives a k-th.  A code whose cosine with
+    Each block of queries meets each block of the index once.  One matrix product of the
+    queries with what the codes stand for scores every code; over the stored norm that
+    estimates the cosine.  Where a query has no k-th yet, the best ``RERANK`` are ranked by
+    exact cosine in double precision on the original vectors, which gives one; each block
+    that a task looks at raises it for the next.  A code whose cosine with
     its vector is c, and the vector's with the query t, is estimated at about c t, give or
-    take the part of the code that lies across; every other code is ranked exactly too whose
+    take the part of the code that lies across; every code is ranked exactly whose
     estimate is no more than ``DEVIATIONS`` standard deviations below what a vector as near
     as the k-th would get.  Ties go to the smaller id; a query's own id is no candidate of it.
 
@@ -151,43 +154,62 @@ def _search(asked: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFram
     shared = spark.sparkContext.broadcast(books.astype(np.float32))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds: dict[int, float] = {}  # the k-th cosine so far of each query, k + 1 candidates counted
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for i in range(batch.num_rows):
-                out += _search_block(batch.column(0)[i].values, batch.column(1)[i].values, shared.value, dims, k)
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            parts = [_search_block(batch.column(0)[i].values, batch.column(1)[i].values, shared.value, dims, k, bounds) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[j] for p in parts]) if parts else [], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     with small_batches(spark, 4):
         return store.write(pairs.mapInArrow(look, "query_id long, vec_id long, score double"), "found")
 
 
-def _search_block(asked: pa.StructArray, entries: pa.StructArray, books: np.ndarray, dims: int, k: int) -> list[tuple[int, int, float]]:
-    """The nearest ``k`` in one block of the index, for each query of one block."""
+def _search_block(asked: pa.StructArray, entries: pa.StructArray, books: np.ndarray, dims: int, k: int, bounds: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest ``k`` in one block of the index, for each query of one block, but for those
+    that ``bounds`` has shown to be none of the nearest; raises the bounds."""
     asked_by, entry = children(asked), children(entries)
     ids = asked_by["id"].to_numpy(zero_copy_only=False)
     q = matrix(asked_by["vector"], dims)
-    unit = q / lengths(q)[:, None]
+    q_size = lengths(q)
+    unit = (q / q_size[:, None]).astype(np.float32)
     x = matrix(entry["vector"], dims)
     size = lengths(x)
-    codes = np.frombuffer(b"".join(entry["code"].to_pylist()), np.uint8).reshape(len(x), -1).T.astype(np.intp)
-    norms = np.maximum(entry["norm"].to_numpy(zero_copy_only=False), 1e-12)
-    close = entry["close"].to_numpy(zero_copy_only=False)
-    across = np.sqrt(np.maximum(1 - close**2, 0) / max(1, dims - 1))
-    members = entry["ids"].to_pylist()
-    tables = np.einsum("qd,med->qme", unit.astype(np.float32), books)
-    q_size = lengths(q)
-    out = []
-    for i, own in enumerate(ids.tolist()):
-        guess = sum(tables[i, m][codes[m]] for m in range(len(codes))) / norms
-        top = np.argpartition(-guess, min(RERANK, len(x)) - 1)[:RERANK] if len(x) > RERANK else np.arange(len(x))
-        exact = (x[top] @ q[i]) / (size[top] * q_size[i])
-        if len(top) < len(x):
-            least = np.sort(exact)[-min(len(exact), k + 1)]
-            near = guess >= close * least - DEVIATIONS * across * np.sqrt(max(0.0, 1 - least**2)) - 1e-6
-            near[top] = False
-            if len(more := np.flatnonzero(near)):
-                top, exact = np.concatenate([top, more]), np.concatenate([exact, (x[more] @ q[i]) / (size[more] * q_size[i])])
-        keep = np.flatnonzero(exact >= np.sort(exact)[-min(len(exact), k + 1)])
-        best = sorted((-float(exact[j]), v) for j in keep.tolist() for v in members[top[j]] if v != own)
-        out += [(own, v, -s) for s, v in best[:k]]
-    return out
+    codes = np.frombuffer(b"".join(entry["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+    coded = (decode(codes, books) / np.maximum(entry["norm"].to_numpy(zero_copy_only=False), 1e-12)[:, None]).astype(np.float32)
+    close = entry["close"].to_numpy(zero_copy_only=False).astype(np.float32)
+    across = (DEVIATIONS * np.sqrt(np.maximum(1 - close**2, 0) / max(1, dims - 1))).astype(np.float32)
+    starts = entry["ids"].offsets.to_numpy()
+    members = entry["ids"].values.to_numpy(zero_copy_only=False)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for top in range(0, len(q), STRIP):
+        own = ids[top : top + STRIP].tolist()
+        guess = unit[top : top + STRIP] @ coded.T
+        for at, name in enumerate(own):
+            row = top + at
+            cosines = lambda some: (x[some] @ q[row]) / (size[some] * q_size[row])  # noqa: B023, E731
+            least = bounds.get(name)
+            if least is None and len(x) > RERANK:
+                first = np.argpartition(-guess[at], RERANK - 1)[:RERANK]
+                least = float(np.sort(cosines(first))[-min(RERANK, k + 1)])
+            if least is None:
+                near = np.arange(len(x))
+            else:
+                near = np.flatnonzero(guess[at] >= close * np.float32(least) - across * np.float32(np.sqrt(max(0.0, 1 - least**2))) - np.float32(1e-5))
+            exact = cosines(near)
+            if len(near) > k + 1:
+                keep = exact >= max(np.partition(exact, -(k + 1))[-(k + 1)], -2.0 if least is None else least - 1e-9)
+                near, exact = near[keep], exact[keep]
+                if len(near) > k:  # k others at least are as near, the query itself left out
+                    bounds[name] = max(bounds.get(name, -1.0), float(exact.min()))
+            found, scores = _spread(near, exact, starts, members)
+            other = found != name
+            found, scores = found[other], scores[other]
+            best = np.lexsort((found, -scores))[:k]
+            out.append((np.full(len(best), name), found[best], scores[best]))
+    return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
+
+
+def _spread(near: np.ndarray, exact: np.ndarray, starts: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the entries ``near``, each with its entry's cosine."""
+    n = starts[near + 1] - starts[near]
+    at = np.repeat(starts[near] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    return members[at], np.repeat(exact, n)
