@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 from trackweave.operators import edges as E
 from trackweave.operators import filters
 from trackweave.operators.filters import NoPath
+from trackweave.operators.graph import Graph
 from trackweave.scratch import scratch
 
 
-def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def distances(edges: DataFrame | Graph, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Least costs from each of ``sources(leg, node)``: (leg, node, dist, hops, parent).
 
     Each round relaxes only nodes that the round before improved, keeps the least
     (cost, hops, parent) of a node by one aggregation, and writes the result, until
     nothing changes.  With ``targets(leg, target)`` nodes dearer than what already
     reaches the leg's target go no further.  Ties go to fewer hops, then to the
-    smaller parent, so results don't depend on partitioning.
+    smaller parent, so results don't depend on partitioning.  Edges of a ``Graph`` are never
+    written: each round computes those of the nodes that move.
     """
-    store = scratch(edges.sparkSession)
-    near = store.write(E.adjacency(edges).where(F.col("weight") < float("inf")).select(F.col("node").alias("from"), "other", "weight"), "adjacency")
+    store = scratch(sources.sparkSession)
+    near = None if isinstance(edges, Graph) else store.write(E.adjacency(edges).where(F.col("weight") < float("inf")).select(F.col("node").alias("from"), "other", "weight"), "adjacency")
     best = sources.select("leg", "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("fresh"))
     while True:
         moving = best.where("fresh = 1")
         if targets is not None:
             reached = best.join(targets, (best["leg"] == targets["leg"]) & (best["node"] == targets["target"])).select(best["leg"].alias("of"), F.col("dist").alias("bound"))
             moving = moving.join(reached, F.col("leg") == F.col("of"), "left").where("bound is null or dist < bound").select("leg", "node", "dist", "hops")
-        found = moving.join(near, F.col("node") == F.col("from")).select(
+        found = edges.relaxed(moving).withColumn("fresh", F.lit(1)) if near is None else moving.join(near, F.col("node") == F.col("from")).select(
             "leg", F.col("other").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"), F.lit(1).alias("fresh")
         )
         known = best.withColumn("fresh", F.lit(0))
@@ -62,7 +64,7 @@ def trace(best: DataFrame, targets: DataFrame, chunk: int = 12) -> DataFrame:
     return rows.select("leg", "hops", "node", "dist")
 
 
-def path(songs: DataFrame, edges: DataFrame, stops: list[int], allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music") -> DataFrame:
+def path(songs: DataFrame, edges: DataFrame | Graph, stops: list[int], allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music") -> DataFrame:
     """The cheapest path through ``stops`` in order: (pos, ord, hop_cost, cum_cost).
 
     Equal neighbouring stops are one; a single stop left is a path of one track and
