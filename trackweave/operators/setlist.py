@@ -12,6 +12,7 @@ from trackweave.functions import music
 from trackweave.operators import edges as E
 from trackweave.operators import filters, paths
 from trackweave.operators.filters import NoPath, NotFound
+from trackweave.operators.graph import Graph
 from trackweave.scratch import scratch
 
 
@@ -41,12 +42,17 @@ class Walks:
     Choices are drawn by a hash of seed, attempt and step, so a seed fixes the result.
     """
 
-    def __init__(self, songs: DataFrame, edges: DataFrame, *, min_bpm: float = 0.0, max_bpm: float = 999.0, set_key: str | None = None, allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music", seed: int = 42, attempts: int = C.ATTEMPTS):
+    def __init__(self, songs: DataFrame, edges: DataFrame | Graph, *, min_bpm: float = 0.0, max_bpm: float = 999.0, set_key: str | None = None, allowed_types: list[str] | None = None, excluded_dirs: list[str] | None = None, base: str = "/music", seed: int = 42, attempts: int = C.ATTEMPTS):
         self.songs, self.edges, self.seed, self.attempts = songs, edges, seed, attempts
         self.spark, self.store = songs.sparkSession, scratch(songs.sparkSession)
         self.min_bpm, self.max_bpm, self.set_key = min_bpm, max_bpm, set_key
         self.filters = {"allowed_types": allowed_types, "excluded_dirs": excluded_dirs, "base": base}
         self.facts = self.store.write(songs.select("ord", "key", music.duration(F.col("duration_sec")).alias("seconds")), "facts")
+        if isinstance(edges, Graph):  # edges of the walks' tracks are computed at each step; the pool leaves excluded folders out
+            self.near = None
+            self.typed = edges.limited(allowed_types)
+            self.out = filters.excluded_songs(songs, excluded_dirs, base)
+            return
         near = E.adjacency(filters.by_type(edges, allowed_types)).where(F.col("weight") < float("inf"))
         out = filters.excluded_songs(songs, excluded_dirs, base)
         if out is not None:
@@ -83,12 +89,21 @@ class Walks:
         it hasn't visited; past three quarters of the target, those in the ending key if any."""
         pool = self.store.write(pool.distinct(), "pool")
         pool_facts = self.facts.join(pool, "ord", "left_semi").select(F.col("ord").alias("other"), "key", "seconds")
-        near = self.store.write(self.near.join(pool_facts, "other"), "walkable")
+        if self.near is None:
+            if self.out is not None:
+                pool_facts = pool_facts.join(self.out, F.col("other") == F.col("ord"), "left_anti")
+            pool_facts = self.store.write(pool_facts, "walkable")
+        else:
+            near = self.store.write(self.near.join(pool_facts, "other"), "walkable")
         state = starts.join(self.facts, F.col("cur") == F.col("ord")).select("attempt", "cur", F.array("cur").alias("visited"), F.col("seconds").alias("total"), F.lit(False).alias("stuck"))
         state = self.store.write(state, "walk")
         step = 0
         going = (F.col("total") < target) & ~F.col("stuck")
         while not state.where(going).isEmpty():
+            if self.near is None:
+                ends = state.where(going).select(F.col("cur").alias("ord"))
+                reached = self.typed.around(ends, pool_facts.select(F.col("other").alias("ord"))).where(F.col("weight") < float("inf"))
+                near = self.store.write(reached.join(pool_facts, "other"), "step")
             options = state.where(going).join(near, F.col("cur") == F.col("node")).where(~F.array_contains("visited", F.col("other")))
             if ending_key:
                 hit = (F.col("key") == ending_key) & (F.col("total") > C.ENDING_FROM * target)
@@ -105,7 +120,7 @@ class Walks:
                 (F.col("stuck") | (going & F.col("next").isNull())).alias("stuck"),
             )
             following = self.store.write(moved, "walk")
-            self.store.drop(state)
+            self.store.drop(state, near if self.near is None else None)
             state, step = following, step + 1
         return state
 
@@ -130,7 +145,7 @@ class Walks:
         return self.best(self.walk(tries, self.pool(key), target, ending_key), target)[1:]
 
 
-def generate(songs: DataFrame, edges: DataFrame, target_seconds: float, *, starting_song: int | None = None, starting_key: str | None = None, ending_song: int | None = None, ending_key: str | None = None, waypoints: list[Waypoint] | None = None, attempts: int = C.ATTEMPTS, seed: int = 42, **constraints: object) -> DataFrame:
+def generate(songs: DataFrame, edges: DataFrame | Graph, target_seconds: float, *, starting_song: int | None = None, starting_key: str | None = None, ending_song: int | None = None, ending_key: str | None = None, waypoints: list[Waypoint] | None = None, attempts: int = C.ATTEMPTS, seed: int = 42, **constraints: object) -> DataFrame:
     """A setlist ``(pos, ord)`` of about ``target_seconds``.
 
     Without waypoints every attempt walks at once and the first to reach the target is
