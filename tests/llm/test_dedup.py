@@ -97,6 +97,30 @@ def test_similar_groups_keep_one_of_each(spark):
     assert kept == [4 * f for f in range(30)]
 
 
+def test_refused_candidates_hide_no_links(spark, monkeypatch):
+    # every name of one tile is a candidate of every other; the closest that connect them are all
+    # refused, so the groups hang on pairs that were held back
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"w{v}" for v in rng.integers(0, 10**6, 40))
+    texts = [f"{shared} t{i}" for i in range(24)]
+    monkeypatch.setattr(simhash, "expected_distance", lambda *_: 256)
+    spanning = simhash._spanning
+
+    def misled(i, j, bits, n):
+        wrong = np.flatnonzero(i % 2 != j % 2)
+        return (i[wrong], j[wrong]) if len(i) > 4 * n else spanning(i, j, bits, n)
+
+    def halves(links, classes, *args):  # judged alike: names of one half alone
+        order = {r["name"]: k for k, r in enumerate(classes.orderBy("name").collect())}
+        kept = [(r["a"], r["b"]) for r in links.collect() if order[r["a"]] % 2 == order[r["b"]] % 2]
+        return spark.createDataFrame(kept, "a long, b long")
+
+    monkeypatch.setattr(simhash, "_spanning", misled)
+    monkeypatch.setattr(simhash, "verified", halves)
+    got = {r["component_id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert len(got) == 2
+
+
 def test_line_templates(spark):
     shared = "this passage of many words stands in several documents and ought to stay in one of them alone " * 3
     own = [" ".join(f"own{c}{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(60)) for c in "xyz"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -189,17 +190,30 @@ def _spanning(i: np.ndarray, j: np.ndarray, bits: np.ndarray, n: int) -> tuple[n
     return pairs[:, 0], pairs[:, 1]
 
 
+def _packed(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> bytes:
+    """Pairs (i, j) of ``names`` as a compressed bit a place: their number may be the square of the names'."""
+    bits = np.zeros(len(names) ** 2, bool)
+    bits[i * len(names) + j] = True
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
+def _unpacked(left: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(left), np.uint8), count=n * n))
+    return at // n, at % n
+
+
 def compare_tiles(spark, pairs: DataFrame, words: int, radius: int, alike: float = 0.0) -> DataFrame:
     """Links ``(a, b)`` of ``pairs(one, other, same)`` of tiles of (name, w0.., shingles).
 
     Each pair of tiles is one row, compared exactly by exclusive-or and bit counts; sets
     whose numbers of shingles are in a ratio below ``alike`` are no links.  A row yields no
-    more links than connect its names.
+    more links than connect its names.  With ``alike`` links are candidates only, so a row
+    that yields fewer than it has also gives, in ``names`` and ``left``, those it held back.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty((0, 2), np.int64)]
+            found, held = [np.empty((0, 2), np.int64)], []
             for k in range(batch.num_rows):
                 sides = []
                 for side in (0, 1):
@@ -215,14 +229,58 @@ def compare_tiles(spark, pairs: DataFrame, words: int, radius: int, alike: float
                     keep &= np.minimum(na, nb) >= alike * np.maximum(na, nb)
                 i, j, bits = i[keep], j[keep], bits[keep]
                 shift = 0 if same else len(one[0])
-                i, j = _spanning(i, j + shift, bits, shift + len(other[0]))
                 names = one[0] if same else np.concatenate([one[0], other[0]])
+                all_i, all_j = i, j + shift
+                i, j = _spanning(all_i, all_j, bits, shift + len(other[0]))
                 found.append(np.stack([names[i], names[j]], 1))
-            links = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], ["a", "b"])
+                if alike and len(i) < len(all_i):
+                    used = np.isin(all_i * len(names) + all_j, np.concatenate([i * len(names) + j, j * len(names) + i]))
+                    held.append((names, _packed(names, all_i[~used], all_j[~used])))
+            yield _links_and_held(np.concatenate(found), held)
 
     with small_batches(spark, 64):
-        return scratch(spark).write(pairs.select("one", "other", "same").mapInArrow(compare, "a long, b long"), "links")
+        return scratch(spark).write(pairs.select("one", "other", "same").mapInArrow(compare, HELD), "links")
+
+
+#: Links, and in rows of their own what was held back.
+HELD = "a long, b long, names array<long>, left binary"
+
+
+def _links_and_held(links: np.ndarray, held: list[tuple[np.ndarray, bytes]]) -> pa.RecordBatch:
+    none = [None] * len(held)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*links.min(axis=1).tolist(), *none], pa.int64()), pa.array([*links.max(axis=1).tolist(), *none], pa.int64()),
+            pa.array([None] * len(links) + [n.tolist() for n, _ in held], pa.list_(pa.int64())), pa.array([None] * len(links) + [x for _, x in held], pa.binary()),
+        ],
+        ["a", "b", "names", "left"],
+    )
+
+
+def held_back(spark, held: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """More candidates of ``held(names, left)``: of the pairs that tiles held back, those between
+    different ``groups(id, component)``, at most ``most`` a name and tile; the rest is held again."""
+    held = held.select(F.xxhash64("names", "left").alias("tile"), "names", "left").dropDuplicates(["tile"])  # tables may share a tile
+    place = held.select("tile", F.posexplode("names").alias("at", "name")).join(groups, F.col("name") == F.col("id"), "left")
+    of = place.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "name").alias("group")))).alias("places"))
+    rows = held.join(of, "tile").select("names", "left", F.transform("places", lambda p: p["group"]).alias("groups"))
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, again = [np.empty((0, 2), np.int64)], []
+            for k in range(batch.num_rows):
+                names, group = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (0, 2))
+                i, j = _unpacked(batch.column(1)[k].as_py(), len(names))
+                apart = group[i] != group[j]
+                i, j = i[apart], j[apart]
+                n = most * len(names)
+                found.append(np.stack([names[i[:n]], names[j[:n]]], 1))
+                if len(i) > n:
+                    again.append((names, _packed(names, i[n:], j[n:])))
+            yield _links_and_held(np.concatenate(found), again)
+
+    with small_batches(spark, 4):
+        return scratch(spark).write(rows.mapInArrow(more, HELD), "links")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -242,7 +300,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     steps = [sum(d * BASE**i for i, d in enumerate(delta)) for delta in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, delta)) <= radius]
     dealt = spread(keyed, ["tile"], F.col("name"), TILE)
     tiles = scratch(spark).write(dealt.groupBy("tile", "sub").agg(F.collect_list(F.struct("name", "w0")).alias("members")), "tiles")
-    return compare_tiles(spark, tile_pairs(tiles, [], "tile", [s for s in steps if s >= 0], "members"), 1, radius)
+    return compare_tiles(spark, tile_pairs(tiles, [], "tile", [s for s in steps if s >= 0], "members"), 1, radius).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -278,7 +336,8 @@ def expected_distance(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: the closest of ``classes(name, w0.., shingles, marks)`` that may be alike.
+    """``(a, b, names, left)``: the closest of ``classes(name, w0.., shingles, marks)`` that may be
+    alike, and what tiles held back.
 
     In each table, tiles hold classes whose ``MARKS`` first shingles are the same, as those
     of a pair as alike as ``similarity`` are in at least one of the ``TABLES`` with a
@@ -293,7 +352,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     tiles = scratch(spark).write(dealt.where("subs > 1 or size(members) > 1"), "tiles")
     alone = tiles.where("subs = 1").select(F.col("members").alias("one"), F.col("members").alias("other"), F.lit(True).alias("same"))
     pairs = alone.unionByName(tile_pairs(tiles.where("subs > 1"), ["table"], "mark", [0], "members").select("one", "other", "same"))
-    return compare_tiles(spark, pairs, WIDE, expected_distance(similarity), similarity).distinct()
+    return compare_tiles(spark, pairs, WIDE, expected_distance(similarity), similarity)
 
 
 def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -335,8 +394,23 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity:
     words = [f"w{k}" for k in range(WIDE)]
     classes = prints.groupBy("name", *words, "shingles", "marks").agg(F.min(F.struct("id", "doc")).alias("first"))
     classes = store.write(classes, "classes")
-    links = verified(candidate_links(classes, similarity), classes, docs, id_col, text_col, width, similarity)
+    found = candidate_links(classes, similarity)
+    candidates = store.write(found.where("a is not null").select("a", "b").distinct(), "candidates")
+    links, tried, most = store.write(verified(candidates, classes, docs, id_col, text_col, width, similarity), "alike"), candidates, 16
     groups = connected_components(links)
+    # a candidate that verification refuses may have stood for others: those go next, until none lies between two groups
+    while not (held := found.where("names is not null").select("names", "left")).isEmpty():
+        groups = store.write(groups, "components")
+        found = held_back(docs.sparkSession, held, groups, most)
+        candidates = store.write(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        most *= 4
+        if candidates.isEmpty():
+            continue
+        tried = tried.unionByName(candidates)
+        more = store.write(verified(candidates, classes, docs, id_col, text_col, width, similarity), "alike")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = connected_components(links)
     member = classes.join(groups, F.col("name") == groups["id"], "left").select("name", "first", F.coalesce("component", "name").alias("group"))
     member = store.write(member, "groups")
     least = member.groupBy("group").agg(F.min("first").alias("least"))
@@ -349,7 +423,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal sets are one class.  256-bit fingerprints of the sets are compared in tiles; of
     the pairs within the distance that pairs of ``similarity`` rarely exceed, the closest
-    that connect a tile's classes are verified by exact Jaccard similarity.  A group is what
+    that connect a tile's classes are verified by exact Jaccard similarity, and then those
+    between what this leaves apart, until none is left.  A group is what
     verified links connect, so every member has a partner of that similarity in it; a pair
     is missed where its fingerprints lie further apart or share no tile, in all about one
     in 600 of pairs at exactly ``similarity``.  Texts without words are one group.  Repeated
