@@ -103,7 +103,7 @@ def test_refused_candidates_hide_no_links(spark, monkeypatch):
     rng = np.random.default_rng(3)
     shared = " ".join(f"w{v}" for v in rng.integers(0, 10**6, 40))
     texts = [f"{shared} t{i}" for i in range(24)]
-    monkeypatch.setattr(simhash, "expected_distance", lambda *_: 256)
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: (np.zeros(simhash.WIDE, np.uint64), [7]))  # one tile
     spanning = simhash._spanning
 
     def misled(i, j, bits, n):
