@@ -121,6 +121,41 @@ def test_refused_candidates_hide_no_links(spark, monkeypatch):
     assert len(got) == 2
 
 
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_refused_candidates_are_not_joined_pair_by_pair(spark, monkeypatch, most):
+    # one tile of 40 names, each a candidate of every other; alike are those of one of 20 families alone
+    rng = np.random.default_rng(4)
+    shared = " ".join(f"w{v}" for v in rng.integers(0, 10**6, 30))
+    own = [" ".join(f"o{v}" for v in rng.integers(0, 10**6, 20)) for _ in range(20)]
+    texts = [f"{shared} {own[i % 20]} {'first' if i < 20 else 'second'}" for i in range(40)]
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: (np.zeros(simhash.WIDE, np.uint64), [7]))
+    monkeypatch.setattr(simhash, "SHINGLES", most, raising=False)  # at 300 the tile is cut into parts
+    joined, verified = [], simhash.verified
+
+    def counted(links, *args):
+        joined.append(links.count())
+        return verified(links, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert got == {i: i % 20 for i in range(40)}
+    assert sum(joined) <= 4 * 40  # of 780 pairs
+
+
+def test_sets_that_join_groups():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(60, 40)).astype("<u8") for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    alike = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]) >= 0.55
+    few = rng.random(len(i)) < 0.1
+    for some in (np.ones(len(i), bool), few):
+        links = simhash._joining(sets, i[some], j[some], np.arange(60) // 2, 0.55)
+        pairs = set(zip(i[some & alike].tolist(), j[some & alike].tolist()))
+        assert set(links) <= pairs
+        halves = [(2 * g, 2 * g + 1) for g in range(30)]
+        assert list(components(60, halves + links)) == list(components(60, halves + sorted(pairs)))
+
+
 def test_line_templates(spark):
     shared = "this passage of many words stands in several documents and ought to stay in one of them alone " * 3
     own = [" ".join(f"own{c}{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(60)) for c in "xyz"]

@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ BASE = 32
 BLOCK = 1 << 16
 #: 64-bit words of the wide fingerprint; tables of its tiles, and least shingles that name one.
 WIDE, TABLES, MARKS = 4, 10, 2
+#: Shingles of the sets that are compared with others in one task, about.
+SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -208,7 +211,8 @@ def compare_tiles(spark, pairs: DataFrame, words: int, radius: int, alike: float
     Each pair of tiles is one row, compared exactly by exclusive-or and bit counts; sets
     whose numbers of shingles are in a ratio below ``alike`` are no links.  A row yields no
     more links than connect its names.  With ``alike`` links are candidates only, so a row
-    that yields fewer than it has also gives, in ``names`` and ``left``, those it held back.
+    that yields fewer than it has also gives, in ``names``, ``shingles`` and ``left``, those it
+    held back.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +239,8 @@ def compare_tiles(spark, pairs: DataFrame, words: int, radius: int, alike: float
                 found.append(np.stack([names[i], names[j]], 1))
                 if alike and len(i) < len(all_i):
                     used = np.isin(all_i * len(names) + all_j, np.concatenate([i * len(names) + j, j * len(names) + i]))
-                    held.append((names, _packed(names, all_i[~used], all_j[~used])))
+                    shingles = one[-1] if same else np.concatenate([one[-1], other[-1]])
+                    held.append((names, shingles, _packed(names, all_i[~used], all_j[~used])))
             yield _links_and_held(np.concatenate(found), held)
 
     with small_batches(spark, 64):
@@ -243,44 +248,115 @@ def compare_tiles(spark, pairs: DataFrame, words: int, radius: int, alike: float
 
 
 #: Links, and in rows of their own what was held back.
-HELD = "a long, b long, names array<long>, left binary"
+HELD = "a long, b long, names array<long>, shingles array<long>, left binary"
 
 
-def _links_and_held(links: np.ndarray, held: list[tuple[np.ndarray, bytes]]) -> pa.RecordBatch:
-    none = [None] * len(held)
+def _links_and_held(links: np.ndarray, held: list[tuple[np.ndarray, np.ndarray, bytes]]) -> pa.RecordBatch:
+    none, blank = [None] * len(held), [None] * len(links)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([*links.min(axis=1).tolist(), *none], pa.int64()), pa.array([*links.max(axis=1).tolist(), *none], pa.int64()),
-            pa.array([None] * len(links) + [n.tolist() for n, _ in held], pa.list_(pa.int64())), pa.array([None] * len(links) + [x for _, x in held], pa.binary()),
+            *[pa.array(blank + [h[k].tolist() for h in held], pa.list_(pa.int64())) for k in (0, 1)], pa.array(blank + [h[2] for h in held], pa.binary()),
         ],
-        ["a", "b", "names", "left"],
+        ["a", "b", "names", "shingles", "left"],
     )
 
 
-def held_back(spark, held: DataFrame, groups: DataFrame, most: int) -> DataFrame:
-    """More candidates of ``held(names, left)``: of the pairs that tiles held back, those between
-    different ``groups(id, component)``, at most ``most`` a name and tile; the rest is held again."""
-    held = held.select(F.xxhash64("names", "left").alias("tile"), "names", "left").dropDuplicates(["tile"])  # tables may share a tile
-    place = held.select("tile", F.posexplode("names").alias("at", "name")).join(groups, F.col("name") == F.col("id"), "left")
-    of = place.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("component", "name").alias("group")))).alias("places"))
-    rows = held.join(of, "tile").select("names", "left", F.transform("places", lambda p: p["group"]).alias("groups"))
-
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, again = [np.empty((0, 2), np.int64)], []
-            for k in range(batch.num_rows):
-                names, group = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (0, 2))
-                i, j = _unpacked(batch.column(1)[k].as_py(), len(names))
-                apart = group[i] != group[j]
-                i, j = i[apart], j[apart]
-                n = most * len(names)
-                found.append(np.stack([names[i[:n]], names[j[:n]]], 1))
-                if len(i) > n:
-                    again.append((names, _packed(names, i[n:], j[n:])))
-            yield _links_and_held(np.concatenate(found), again)
-
-    with small_batches(spark, 4):
-        return scratch(spark).write(rows.mapInArrow(more, HELD), "links")
+#: Names of a part of a tile in their places, and at -1 its pairs.
+PLACES = "tile long, part long, at long, name long, group long, left binary"
+
+
+def held_back(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """``PLACES`` of the pairs of ``held(names, shingles, left)`` that lie between different
+    ``groups(id, component)``.  A part has the pairs of two blocks of names with about
+    ``SHINGLES`` shingles each, so its sets fit into a task however long texts are."""
+    store = scratch(held.sparkSession)
+    held = store.write(held.select(F.xxhash64("names", "left").alias("tile"), "names", "shingles", "left").dropDuplicates(["tile"]), "held")  # tables may share a tile
+    place = held.select("tile", F.posexplode(F.arrays_zip("names", "shingles")).alias("at", "of")).select("tile", "at", F.col("of.names").alias("name"), F.col("of.shingles").alias("shingles"))
+    place = place.join(groups, F.col("name") == F.col("id"), "left").select("tile", F.col("at").cast("long").alias("at"), "name", F.coalesce("component", "name").alias("group"), "shingles")
+    rows = place.unionByName(held.select("tile", F.lit(-1).cast("long").alias("at"), "left"), allowMissingColumns=True)
+
+    def cut(table: pa.Table) -> pa.Table:
+        tile, left = table.column("tile")[0].as_py(), _left(table)
+        names, group, shingles = _in_place(table, "name", "group", "shingles")
+        i, j = _unpacked(left, len(names))
+        apart = group[i] != group[j]
+        i, j = i[apart], j[apart]
+        some = np.unique(np.concatenate([i, j]))
+        block = np.zeros(len(names), np.int64)
+        block[some] = (np.cumsum(shingles[some]) - shingles[some]) // SHINGLES
+        part = block[i] * len(names) + block[j]  # i < j, so the first block is the smaller one
+        out = []
+        for k in np.unique(part):
+            a, b = i[part == k], j[part == k]
+            here = np.unique(np.concatenate([a, b]))
+            n = len(here) + 1
+            bits = _packed(here, np.searchsorted(here, a), np.searchsorted(here, b))
+            out.append(pa.table({
+                "tile": pa.array(np.full(n, tile)), "part": pa.array(np.full(n, k)), "at": pa.array(np.arange(-1, n - 1)), "name": pa.array([None, *names[here].tolist()], pa.int64()),
+                "group": pa.array([None, *group[here].tolist()], pa.int64()), "left": pa.array([bits] + [None] * (n - 1), pa.binary()),
+            }))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (*[(c, pa.int64()) for c in ("tile", "part", "at", "name", "group")], ("left", pa.binary()))})
+
+    return store.write(rows.groupBy("tile").applyInArrow(cut, PLACES), "places")
+
+
+def _left(table: pa.Table) -> bytes:
+    return table.column("left").drop_null()[0].as_py()
+
+
+def _in_place(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns of a tile's names in the order of their places."""
+    rows = table.filter(pc.greater_equal(table.column("at"), 0)).sort_by("at")
+    return [rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
+
+
+def verified_within(places: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect the groups of ``places`` as all pairs do whose sets, of
+    ``known(name, hashes)``, have a Jaccard similarity of ``similarity`` or more, exactly.
+
+    A part of a tile is one group of rows, which brings each of its sets once: rows grow with
+    names, not with pairs."""
+    rows = places.where("at >= 0").join(known, "name").select("tile", "part", "at", "name", "group", "hashes")
+    rows = rows.unionByName(places.where("at < 0").select("tile", "part", "at", "left"), allowMissingColumns=True)
+
+    def judge(table: pa.Table) -> pa.Table:
+        names, group, hashes = _in_place(table, "name", "group", "hashes")
+        i, j = _unpacked(_left(table), len(names))
+        found = _joining([np.frombuffer(h, "<u8") for h in hashes], i, j, group, similarity)
+        links = names[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(links.min(axis=1)), "b": pa.array(links.max(axis=1))})
+
+    return rows.groupBy("tile", "part").applyInArrow(judge, "a long, b long")
+
+
+def _joining(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of ``sets`` those alike that join two groups.  A pair is passed over
+    only where its groups are joined already."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mine = np.zeros(int(sizes.sum()), bool)
+    order = np.argsort(i, kind="stable")
+    j, bounds, group = j[order], np.searchsorted(i[order], np.arange(n + 1)), group.copy()
+    out = []
+    for k in range(n):
+        to = j[bounds[k] : bounds[k + 1]]
+        to = to[group[to] != group[k]]
+        if not len(to):
+            continue
+        own = ids[starts[k] : starts[k] + sizes[k]]
+        mine[own] = True
+        if 8 * len(to) < n:
+            both = np.array([np.count_nonzero(mine[ids[starts[x] : starts[x] + sizes[x]]]) for x in to])
+        else:
+            both = np.add.reduceat(mine[ids], starts, dtype=np.int64)[to]
+        mine[own] = False
+        for x in to[both >= similarity * (sizes[k] + sizes[to] - both)].tolist():
+            if group[x] != group[k]:
+                out.append((k, x))
+                group[group == group[x]] = group[k]
+    return out
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -336,7 +412,7 @@ def expected_distance(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, names, left)``: the closest of ``classes(name, w0.., shingles, marks)`` that may be
+    """``(a, b, names, shingles, left)``: the closest of ``classes(name, w0.., shingles, marks)`` that may be
     alike, and what tiles held back.
 
     In each table, tiles hold classes whose ``MARKS`` first shingles are the same, as those
@@ -355,12 +431,11 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     return compare_tiles(spark, pairs, WIDE, expected_distance(similarity), similarity)
 
 
-def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The ``links(a, b)`` whose sets of shingles have a Jaccard similarity of ``similarity``
-    or more, exactly.  Sets are computed again for the classes that have links alone."""
+def sets_of(links: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(name, hashes)``: the sets of shingles of the classes that have ``links(a, b)``, computed
+    again."""
     spark = docs.sparkSession
     store = scratch(spark)
-    links = store.write(links, "candidates")
     named = links.select(F.col("a").alias("name")).unionByName(links.select(F.col("b").alias("name"))).distinct()
     wanted = store.write(classes.join(named, "name").select(F.col("name").alias("of"), F.col("first.doc").alias("at")), "wanted")
     few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
@@ -372,7 +447,12 @@ def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
     texts = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     of = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc") == F.col("at")).select("of", "text")
-    known = store.write(of.mapInArrow(sets, "name long, hashes binary").dropDuplicates(["name"]), "sets")
+    return store.write(of.mapInArrow(sets, "name long, hashes binary").dropDuplicates(["name"]), "sets")
+
+
+def verified(links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The ``links(a, b)`` whose sets of shingles, of ``known(name, hashes)``, have a Jaccard
+    similarity of ``similarity`` or more, exactly."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,21 +476,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity:
     classes = store.write(classes, "classes")
     found = candidate_links(classes, similarity)
     candidates = store.write(found.where("a is not null").select("a", "b").distinct(), "candidates")
-    links, tried, most = store.write(verified(candidates, classes, docs, id_col, text_col, width, similarity), "alike"), candidates, 16
+    known = sets_of(candidates, classes, docs, id_col, text_col, width)
+    links = store.write(verified(candidates, known, similarity), "alike")
     groups = connected_components(links)
-    # a candidate that verification refuses may have stood for others: those go next, until none lies between two groups
-    while not (held := found.where("names is not null").select("names", "left")).isEmpty():
-        groups = store.write(groups, "components")
-        found = held_back(docs.sparkSession, held, groups, most)
-        candidates = store.write(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-        most *= 4
-        if candidates.isEmpty():
-            continue
-        tried = tried.unionByName(candidates)
-        more = store.write(verified(candidates, classes, docs, id_col, text_col, width, similarity), "alike")
+    # a candidate that verification refuses may have stood for others: those between two groups go next, each tile's
+    # in one task. A name that was held back has a candidate too, so its set is known
+    held = found.where("names is not null").select("names", "shingles", "left")
+    if not held.isEmpty():
+        places = held_back(held, groups)
+        more = store.write(verified_within(places, known, similarity), "alike")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = connected_components(links)
+            groups = connected_components(links.unionByName(more))
     member = classes.join(groups, F.col("name") == groups["id"], "left").select("name", "first", F.coalesce("component", "name").alias("group"))
     member = store.write(member, "groups")
     least = member.groupBy("group").agg(F.min("first").alias("least"))
