@@ -414,3 +414,23 @@ def test_vector_query_matches_sql(spark):
     want = {tuple(r) for r in con.execute(f"select vec_id, n_links, component_id, kept from ({queries.oracle_sql()['op2_embedding_dedup']})").fetchall()}
     got = queries.op2_embedding_dedup(spark, "/root/testdata/sf0.01").select("vec_id", "n_links", "component_id", "kept")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_query_blocks_are_not_broadcast_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 64)).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    bounds = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "256k"}
+    before = {k: spark.conf.get(k) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:  # 60 queries in each of 75 blocks are over 1 MB
+        got = ann.search(rows.where("vec_id % 10 = 0"), rows).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 600, 10):
+        want = [i for i in np.argsort(-(u @ u[q]), kind="stable") if i != q][:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want

@@ -150,7 +150,8 @@ def _search(asked: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFram
     packed = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
     blocks = index.select(F.max("block")).first()[0]
     everywhere = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks if blocks is not None else 0))))
-    pairs = everywhere.join(index, "block").select("asked", "entries")
+    # a plan reckons with one copy of the queries, not one a block, so it would broadcast them all
+    pairs = everywhere.hint("merge").join(index, "block").select("asked", "entries")
     shared = spark.sparkContext.broadcast(books.astype(np.float32))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
